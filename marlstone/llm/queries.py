@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import mixing
+from marlstone.llm import chat, decontamination, mixing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +15,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_mixing": op7_mixing}
-ORACLE = {"op7_mixing": mixing.ORACLE}
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(_read(spark, sf_dir, "conversations"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op3_chat": op3_chat,
+    "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
+}
+ORACLE = {"op3_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE}
