@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, mixing
+from marlstone.llm import chat, decontamination, language, mixing, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, toxicity.label_columns())
+    return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(_read(spark, sf_dir, "conversations"))
 
@@ -23,9 +29,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_language": op9_language,
 }
 ORACLE = {"op3_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE}
