@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, language, mixing, toxicity, warc
+from marlstone.llm import chat, decontamination, language, media, mixing, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_read(spark, sf_dir, "documents")).withColumnRenamed("digest", "media_sha256")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_read(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +46,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
+    "op5_media": op5_media,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
