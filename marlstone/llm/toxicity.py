@@ -88,34 +88,40 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def telling(x: Rows, y: np.ndarray, on: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """The ``most`` features whose rates in the two classes differ most, in standard errors, on the rows ``on``."""
+    """How much each feature may tell: the log ratio of its rates in the two classes, on the rows ``on``, else 0.
+
+    Kept are the ``most`` features whose rates differ most, in standard errors times log ratio.
+    """
     plain = Rows([])
     plain.at, plain.row, plain.n, plain.scale = x.at, x.row, x.n, np.ones(x.n)
     a, b = max(1.0, (on * y).sum()), max(1.0, (on * (1 - y)).sum())
     pos, neg = plain.back(on * y), plain.back(on * (1 - y))
     p = np.clip((pos + neg + 1) / (a + b + 2), 0, 1 - 1e-3)  # a feature may occur in several words
-    z = np.abs(pos / a - neg / b) / np.sqrt(p * (1 - p) * (1 / a + 1 / b))
-    keep = np.zeros(1 << BITS, bool)
-    keep[np.argsort(-z, kind="stable")[:most]] = True
-    return keep
+    z = (pos / a - neg / b) / np.sqrt(p * (1 - p) * (1 / a + 1 / b))
+    ratio = np.log((pos + 0.5) / (a + 1)) - np.log((neg + 0.5) / (b + 1))
+    out = np.zeros(1 << BITS)
+    best = np.argsort(-z * ratio, kind="stable")[:most]
+    out[best] = np.abs(ratio[best]) * (pos + neg > 0)[best]
+    return out
 
 
 def fit_one(x: Rows, earlier: np.ndarray, y: np.ndarray, on: np.ndarray, steps: int = 30) -> np.ndarray:
     """Weights of features, of earlier probabilities and of the intercept, by L-BFGS on the rows ``on``; classes weigh alike.
 
-    Only the most telling features of these rows get a weight.
+    Only the most telling features of these rows get a weight, and the more they tell the less it is held down.
     """
-    x = x.only(telling(x, y, on))
+    tells = telling(x, y, on)
+    x = x.only(tells > 0)
     pos = max(1, int(y[on].sum()))
     share = on * np.where(y > 0, 0.5 / pos, 0.5 / max(1, int(on.sum()) - pos))
     dim = 1 << BITS
 
     def loss(w):
-        z = x.dot(w[:dim]) + earlier @ w[dim:-1] + w[-1]
+        z = x.dot(w[:dim] * tells) + earlier @ w[dim:-1] + w[-1]
         p = sigmoid(z)
         value = -(share * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))).sum() + L2 / 2 * (w[:-1] @ w[:-1])
         g = share * (p - y)
-        return value, np.concatenate([x.back(g), earlier.T @ g, [g.sum()]]) + L2 * np.append(w[:-1], 0)
+        return value, np.concatenate([x.back(g) * tells, earlier.T @ g, [g.sum()]]) + L2 * np.append(w[:-1], 0)
 
     w = np.zeros(dim + earlier.shape[1] + 1)
     value, grad = loss(w)
@@ -142,6 +148,7 @@ def fit_one(x: Rows, earlier: np.ndarray, y: np.ndarray, on: np.ndarray, steps:
         w, value, grad = new, v, g
         if done:
             break
+    w[:dim] *= tells
     return w
 
 
