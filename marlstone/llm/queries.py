@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, language, media, mixing, toxicity, warc
+from marlstone.llm import chat, decontamination, language, media, mixing, near, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(_read(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_read(spark, sf_dir, "documents")).withColumnRenamed("digest", "media_sha256")
 
@@ -46,6 +50,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
+    "op4_near": op4_near,
     "op5_media": op5_media,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
