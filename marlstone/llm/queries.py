@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, language, media, mixing, near, toxicity, warc
+from marlstone.llm import chat, decontamination, language, media, mixing, near, privacy, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(_read(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(_read(spark, sf_dir, "conversations"))
 
@@ -49,6 +53,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_privacy": op2_privacy,
     "op3_chat": op3_chat,
     "op4_near": op4_near,
     "op5_media": op5_media,
