@@ -141,7 +141,7 @@ def key_of(words: list[str]) -> bytes:
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, node (digest of the words) and bands of every row; texts without words have no bands."""
+    """doc_id, hash (of the text), node (digest of the words) and bands of every row; texts without words have no bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,9 +178,10 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
                     flush()
                     size = 0
             flush()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes, "bands": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "hash": batch["hash"], "node": nodes, "bands": found})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node binary, bands array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    return rows.mapInPandas(run, f"doc_id {kind}, hash long, node binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
@@ -237,6 +238,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are one shingle of all their words; null, empty and wordless texts are one class. Repeated rows, and rows of one
     doc_id with different texts, each get the class of their text. No rows, no classes. Other columns are ignored.
     """
+    return _classes(docs, threshold).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, hash, class_id and root (which names the class) of every row."""
     spark = docs.sparkSession
     run = Scratch(spark, "near")
     docs = docs.select("doc_id", "text")
@@ -268,8 +274,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = run.table("more", across(members, weights, threshold).distinct())
         roots = components(links.union(more), run, "all")
     least = nodes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = run.table("classes", least.join(least.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id"))
-    return sig.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+    named = run.table("classes", least.join(least.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id", "root"))
+    return sig.select("doc_id", "hash", "node").join(named, "node").select("doc_id", "hash", "class_id", "root")
 
 
 def _of_node(rows: DataFrame) -> DataFrame:
@@ -283,12 +289,13 @@ def _of_node(rows: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one of least doc_id; of repeated rows of that id one stays. Columns stay.
+    """One document of each class: that of least doc_id, null last; of repeated rows one. Columns stay.
 
-    Wordless documents are no copies of each other and all stay. A row is named by its doc_id and text.
+    Wordless documents are no copies of each other and all stay.
     """
-    found = classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    worded = F.col("text").rlike(r"(?U)\w")
-    rest = docs.where(~F.coalesce(worded, F.lit(False)))
-    return kept.where(worded).dropDuplicates(["doc_id"]).unionByName(rest)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    found = _classes(docs, threshold).groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.hash").alias("_h"))
+    worded = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.where(worded).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).unionByName(rows.where(~worded)).drop("_hash")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, language, media, mixing, near, privacy, toxicity, warc
+from marlstone.llm import chat, decontamination, language, media, mixing, near, passages, privacy, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_privacy": op2_privacy,
@@ -61,5 +65,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
+    "op10_passages": op10_passages,
 }
 ORACLE = {"op3_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE}

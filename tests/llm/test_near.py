@@ -80,6 +80,7 @@ def test_large_group_of_near_copies_and_edges(spark):
         near.BLOCK = old
     kept = near.clean(docs)
     assert kept.columns == docs.columns and {960, 961, 962, 951, 970} <= {r.doc_id for r in kept.collect()}
+    assert [r.text[:7] for r in kept.where("doc_id = 971").collect()] == ["another"] and kept.where("text LIKE 'Just%' OR text LIKE 'just%'").count() == 1
     assert near.classes(docs.limit(0)).count() == 0 and near.clean(docs.limit(0)).count() == 0
 
 
