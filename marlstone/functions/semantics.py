@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("series").orderBy("ts")
+
+def series():
+    """All rows of a series in order of time."""
+    return Window.partitionBy("series").orderBy("ts")
 
 
 def last(n: int):
     """The row and its n - 1 predecessors."""
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg: Column, n: int, *over: Column) -> Column:
