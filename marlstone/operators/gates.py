@@ -11,13 +11,13 @@ from marlstone.functions.semantics import hazen, profit_factor
 def circular_twins(pop: DataFrame, by: str, order: list[str], shifts: dict[int, int]) -> DataFrame:
     """For every twin (id: shift) the rows with the profit of the row ``shift`` places before, circularly within a group.
 
-    Groups of two rows or fewer have no twin. Only (group, place, profit) is joined, once for all twins.
+    ``place`` numbers the rows of a group. Groups of two rows or fewer have no twin. Only (group, place, profit) is joined, once for all twins.
     """
     w = Window.partitionBy(by).orderBy(*order)
     rows = pop.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by))).where("_n > 2")
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("twin"), F.lit(s).alias("shift")) for t, s in shifts.items()]))
     want = rows.select("*", table.alias("_s")).select("*", "_s.twin", F.pmod(F.col("_i") - F.col("_s.shift"), F.col("_n")).alias("_j")).drop("_s", "profit")
-    return want.join(rows.select(F.col(by).alias("_b"), F.col("_i").alias("_k"), "profit"), (F.col(by) == F.col("_b")) & (F.col("_j") == F.col("_k"))).drop("_b", "_k", "_i", "_j", "_n")
+    return want.join(rows.select(F.col(by).alias("_b"), F.col("_i").alias("_k"), "profit"), (F.col(by) == F.col("_b")) & (F.col("_j") == F.col("_k"))).withColumnRenamed("_i", "place").drop("_b", "_k", "_j", "_n")
 
 
 def twin_verdict(real: DataFrame, twins: DataFrame, by: str, at: int = 4) -> DataFrame:

@@ -367,19 +367,20 @@ def hash_chain(spark: SparkSession, d: str) -> DataFrame:
 # Gates
 
 SHIFTS = {i: 37 * i + 11 for i in range(1, 21)}
-TWINS = f"WITH {POPULATION_SQL}, r AS (SELECT component, profit, row_number() OVER (PARTITION BY component ORDER BY entry_ts, key, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY component) AS n FROM pop), s AS (SELECT unnest(range(1, 21)) AS twin, 37 * unnest(range(1, 21)) + 11 AS shift), t AS (SELECT a.component, a.i, twin, b.profit FROM r a JOIN s ON true JOIN r b ON a.component = b.component AND b.i = (((a.i - shift) % a.n) + a.n) % a.n WHERE a.n > 2)"
+TWINS = POP + """, r AS (SELECT component, profit, train, row_number() OVER (PARTITION BY component ORDER BY entry_ts, key, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY component) AS n FROM masked),
+s AS (SELECT unnest(range(1, 21)) AS twin, 37 * unnest(range(1, 21)) + 11 AS shift), w AS MATERIALIZED (SELECT component, train, i, twin, (((i - shift) % n) + n) % n AS j FROM r, s WHERE n > 2),
+t AS (SELECT w.component, w.train, w.i, twin, b.profit FROM w JOIN r b ON w.component = b.component AND b.i = w.j)"""
 
 
 def _twins(spark, d):
-    pop = tables.population(spark, d).select("component", "entry_ts", "key", "l_extendedprice", "profit")
+    pop = _masked(spark, d).select("component", "entry_ts", "key", "l_extendedprice", "train", "profit")
     return pop, gates.circular_twins(pop, "component", ["entry_ts", "key", "l_extendedprice"], SHIFTS)
 
 
 @query(TWINS + " SELECT component, twin::INTEGER AS twin, count(*)::BIGINT AS n, round(sum(profit * (i % 10)), 2) AS checksum FROM t GROUP BY ALL")
 def circular_shift_twin(spark: SparkSession, d: str) -> DataFrame:
     _, twins = _twins(spark, d)
-    w = Window.partitionBy("component", "twin").orderBy("entry_ts", "key", "l_extendedprice")
-    return twins.withColumn("i", F.row_number().over(w) - 1).groupBy("component", "twin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("profit") * (F.col("i") % 10)), 2).alias("checksum"))
+    return twins.groupBy("component", "twin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("profit") * (F.col("place") % 10)), 2).alias("checksum"))
 
 
 NULLS = "WITH x AS (SELECT l_partkey % 40 AS config, (l_orderkey % 200) AS shuffle, sum(l_quantity * l_discount) AS x FROM lineitem GROUP BY ALL), m AS (SELECT config, avg(x) AS m, greatest(coalesce(stddev_samp(x), 0), 1e-12) AS s FROM x GROUP BY config), z AS (SELECT shuffle, max((x - m) / s) AS z FROM x JOIN m USING (config) GROUP BY shuffle)"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlstone.plans import registry
+from marlstone.plans import registry, views  # noqa: F401
 from tests import oracle
 
 
