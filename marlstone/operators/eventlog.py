@@ -162,3 +162,62 @@ def verify(lines: DataFrame) -> DataFrame:
     torn = F.col("_hash").isNull() & F.col("_last")
     good = (F.col("_hash") == F.col("event_hash")) & (F.col("prev_hash") == F.col("_prev")) & (F.col("_seq").isNull() | (F.col("seq") == F.col("_seq") + 1))
     return rows.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~torn & ~F.coalesce(good, F.lit(False)), F.col("seq"))).alias("first_bad_seq"), F.bool_or(torn).alias("torn_tail"))
+
+
+def slot_step(state: dict, kind: str, month: str, grant: int) -> dict:
+    """One transition of a lineage's slots.
+
+    A registration starts a generation: the budget is full and nothing is consumed. A request consumes a slot, never below 0. A void gives back the
+    slot and the consumption, but neither the running count nor the month.
+    """
+    s = dict(state)
+    if kind == "register":
+        s |= {"generation": s["generation"] + 1, "remaining": grant, "consumed": 0}
+    elif kind == "request":
+        s |= {"remaining": max(0, s["remaining"] - 1), "consumed": s["consumed"] + 1, "k_cumulative": s["k_cumulative"] + 1, "months": s["months"] | {month}}
+    elif kind == "void" and s["consumed"] > 0:
+        s |= {"remaining": s["remaining"] + 1, "consumed": s["consumed"] - 1}
+    return s
+
+
+EMPTY_SLOTS = {"generation": 0, "remaining": 0, "consumed": 0, "k_cumulative": 0, "months": frozenset()}
+
+
+def slots(log: DataFrame, grant: int = 8) -> DataFrame:
+    """The slots of each lineage after all its events in order; order matters, so a lineage is one group."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        s = EMPTY_SLOTS
+        for kind, month in g.sort_values("seq")[["type", "month"]].itertuples(index=False):
+            s = slot_step(s, kind, month, grant)
+        return pd.DataFrame([{"lineage": g["lineage"].iloc[0], **s, "months": len(s["months"])}])
+
+    rows = log.where("type IN ('register', 'request', 'void')").select("lineage", "seq", "type", F.date_format("ts", "yyyy-MM").alias("month"))
+    return rows.groupBy("lineage").applyInPandas(run, "lineage long, generation long, remaining long, consumed long, k_cumulative long, months long")
+
+
+def versions(log: DataFrame) -> DataFrame:
+    """(lineage, live, n_adopted): the live proposal after adoptions (of the latest proposal) and reverts (to the one live before), in order."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        proposal, live = None, [None]
+        adopted = 0
+        for kind, seq in g.sort_values("seq")[["type", "seq"]].itertuples(index=False):
+            if kind == "register":
+                proposal = seq
+            elif kind == "request" and proposal is not None:
+                live.append(proposal)
+                adopted += 1
+            elif kind == "void" and len(live) > 1:
+                live.pop()
+        return pd.DataFrame({"lineage": [g["lineage"].iloc[0]], "live": pd.array([live[-1]], "Int64"), "n_adopted": [adopted]})
+
+    rows = log.where("type IN ('register', 'request', 'void')").select("lineage", "seq", "type")
+    return rows.groupBy("lineage").applyInPandas(run, "lineage long, live long, n_adopted long")
+
+
+def deduplicated_spends(log: DataFrame, grant: int = 8) -> DataFrame:
+    """Each signature (lineage, rounded value) spends once, at its first request; what is left after each in order of arrival."""
+    first = log.where("type = 'request'").groupBy("lineage", F.round("value").alias("signature")).agg(F.min("seq").alias("seq"))
+    n = F.row_number().over(Window.partitionBy("lineage").orderBy("seq"))
+    return first.select("lineage", "seq", F.greatest(F.lit(0), grant - n).cast("long").alias("remaining"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import scalar
 from marlstone.functions.semantics import profit_factor
-from marlstone.operators import gates, masking, ranking
+from marlstone.operators import eventlog, gates, masking, ranking
 from marlstone.plans.registry import LOG, POP, TWINS, _log, _masked, _pf, _twins, query, rounded
 from marlstone.sources import tables
 
@@ -131,3 +131,27 @@ def hash_verify(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("prev") != F.coalesce(F.lag("h").over(w), F.lit("genesis"))
     return log.withColumn("bad", bad).groupBy("lineage").agg(F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"), F.count(F.lit(1)).alias("n"))
 
+
+
+ORDERED = f"WITH RECURSIVE {LOG[5:]}, n AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY seq) AS i FROM log WHERE type IN ('register', 'request', 'void')), "
+
+
+@query(ORDERED + """f AS (SELECT lineage, i, (type = 'register')::BIGINT AS g, CASE WHEN type = 'register' THEN 8 ELSE 0 END::BIGINT AS r, (type = 'request')::BIGINT AS c, (type = 'request')::BIGINT AS k FROM n WHERE i = 1
+UNION ALL SELECT n.lineage, n.i, g + (type = 'register')::BIGINT, CASE type WHEN 'register' THEN 8 WHEN 'request' THEN greatest(0, r - 1) ELSE CASE WHEN c > 0 THEN r + 1 ELSE r END END::BIGINT,
+ CASE type WHEN 'register' THEN 0 WHEN 'request' THEN c + 1 ELSE greatest(0, c - 1) END::BIGINT, k + (type = 'request')::BIGINT FROM f JOIN n ON n.lineage = f.lineage AND n.i = f.i + 1),
+m AS (SELECT lineage, count(DISTINCT strftime(ts, '%Y-%m')) FILTER (WHERE type = 'request') AS months FROM n GROUP BY lineage)
+SELECT f.lineage, arg_max(g, i) AS generation, arg_max(r, i) AS remaining, arg_max(c, i) AS consumed, arg_max(k, i) AS k_cumulative, any_value(months)::BIGINT AS months FROM f JOIN m USING (lineage) GROUP BY f.lineage""")
+def slot_fold(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.slots(_log(spark, d))
+
+
+@query(ORDERED + """f AS (SELECT lineage, i, CASE WHEN type = 'register' THEN seq END AS p, []::BIGINT[] AS st, 0::BIGINT AS a FROM n WHERE i = 1
+UNION ALL SELECT n.lineage, n.i, CASE WHEN type = 'register' THEN seq ELSE p END, CASE WHEN type = 'request' AND p IS NOT NULL THEN list_append(st, p) WHEN type = 'void' THEN st[:-2] ELSE st END, a + (type = 'request' AND p IS NOT NULL)::BIGINT FROM f JOIN n ON n.lineage = f.lineage AND n.i = f.i + 1)
+SELECT lineage, arg_max(st, i)[-1] AS live, arg_max(a, i) AS n_adopted FROM f GROUP BY lineage""")
+def rule_versions(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.versions(_log(spark, d))
+
+
+@query(LOG + ", s AS (SELECT lineage, round(value) AS g, min(seq) AS seq FROM log WHERE type = 'request' GROUP BY ALL) SELECT lineage, seq, greatest(0, 8 - row_number() OVER (PARTITION BY lineage ORDER BY seq))::BIGINT AS remaining FROM s")
+def deduplicated_spends(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.deduplicated_spends(_log(spark, d))
