@@ -155,3 +155,36 @@ def rule_versions(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG + ", s AS (SELECT lineage, round(value) AS g, min(seq) AS seq FROM log WHERE type = 'request' GROUP BY ALL) SELECT lineage, seq, greatest(0, 8 - row_number() OVER (PARTITION BY lineage ORDER BY seq))::BIGINT AS remaining FROM s")
 def deduplicated_spends(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.deduplicated_spends(_log(spark, d))
+
+
+@query(POP + """, l AS (SELECT component, profit, lead(profit) OVER (PARTITION BY component ORDER BY entry_ts, key, l_extendedprice) AS leak, train FROM masked)
+SELECT component, round(sum(profit) FILTER (WHERE train), 2) AS score, round(sum(leak) FILTER (WHERE train), 2) AS leaked, abs(sum(profit) FILTER (WHERE train) - sum(leak) FILTER (WHERE train)) > 1e-6 AS changed FROM l GROUP BY component""")
+def mutation_audit(spark: SparkSession, d: str) -> DataFrame:
+    """A planted one-row leak must change the score."""
+    w = Window.partitionBy("component").orderBy("entry_ts", "key", "l_extendedprice")
+    rows = _masked(spark, d).withColumn("leak", F.lead("profit").over(w)).where("train")
+    s, k = F.sum("profit"), F.sum("leak")
+    return rows.groupBy("component").agg(F.round(s, 2).alias("score"), F.round(k, 2).alias("leaked"), (F.abs(s - k) > 1e-6).alias("changed"))
+
+
+@query(POP + f""", q AS (SELECT side, profit, row_number() OVER (PARTITION BY side ORDER BY entry_ts, key, l_extendedprice) AS r, count(*) OVER (PARTITION BY side) AS n FROM masked WHERE win_id = 4)
+SELECT side, count(*) FILTER (WHERE r <= n // 2)::BIGINT AS n1, count(*) FILTER (WHERE r > n // 2)::BIGINT AS n2, round({_pf('r <= n // 2')}, 6) AS pf1, round({_pf('r > n // 2')}, 6) AS pf2 FROM q GROUP BY side""")
+def split_half(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("side").orderBy("entry_ts", "key", "l_extendedprice")
+    q = _masked(spark, d).where("win_id = 4").withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("side")))
+    first = F.col("r") <= F.floor(F.col("n") / 2)
+    pf = lambda c: profit_factor(F.when(c, F.col("profit")), F.lit(None).cast("double"))
+    return rounded(q.groupBy("side").agg(F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), pf(first).alias("pf1"), pf(~first).alias("pf2")))
+
+
+@query("SELECT DISTINCT p_brand || '/' || p_size AS config_key FROM part SEMI JOIN lineitem ON p_partkey = l_partkey WHERE p_size > 10 AND p_type IS NOT NULL")
+def stage0_enumerate(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys of blocks that are frozen and not closed."""
+    p = tables.table(spark, d, "part").where("p_size > 10 AND p_type IS NOT NULL").join(tables.table(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    return p.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("config_key")).distinct()
+
+
+@query("SELECT event_type AS series, count(*)::BIGINT AS n, round(max(value) - min(value), 6) AS spread, count(DISTINCT user_id)::BIGINT AS n_users FROM events GROUP BY ROLLUP (event_type)")
+def rollup_view(spark: SparkSession, d: str) -> DataFrame:
+    users = F.count_distinct("user_id")
+    return tables.table(spark, d, "events").rollup(F.col("event_type").alias("series")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value") - F.min("value"), 6).alias("spread"), users.alias("n_users"))
