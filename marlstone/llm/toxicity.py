@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,6 +173,12 @@ class Chain:
         if labels.shape[1]:
             self.limit = best_limit(p, y)
 
+    @classmethod
+    def of(cls, weights: list[np.ndarray], limit: float) -> "Chain":
+        out = cls.__new__(cls)
+        out.weights, out.limit = weights, limit
+        return out
+
     @staticmethod
     def _logits(x: Rows, earlier: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x.dot(w[: 1 << BITS]) + earlier @ w[1 << BITS : -1] + w[-1]
@@ -225,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], most: int
     """Train on up to ``most`` labelled documents of each combination of labels, those of the least hash of doc_id.
 
     ``chain``: the boolean label columns, in order, as expressions over ``labels``. Labels that are null, or are of no document
-    of up to ``longest`` characters, aren't used. The sample, 2 ** columns * ``most`` texts at most, comes to the driver.
+    of up to ``longest`` characters, aren't used. The sample, 2 ** columns * ``most`` texts at most, goes to one task, which trains and returns the weights.
     """
     known = labels.select("doc_id", *[c.cast("boolean").alias(k) for k, c in chain.items()]).dropna()
     parts = [known.where(" AND ".join(f"{k} = {str(v).lower()}" for k, v in zip(chain, values))).orderBy(F.xxhash64("doc_id")).limit(most) for values in itertools.product((False, True), repeat=len(chain))]
@@ -234,8 +241,20 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], most: int
         sample = sample.union(p)
     # Bounded by ``most``, so safe to broadcast.
     rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)))
-    got = sorted((r.doc_id, r.text, r.fold, *[r[k] for k in chain]) for r in rows.collect())
-    return Chain([r[1] for r in got], np.array([r[3:] for r in got], float).reshape(len(got), len(chain)), np.array([r[2] for r in got]))
+    names = list(chain)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted(r for b in batches for r in b[["doc_id", "text", "fold", *names]].itertuples(index=False, name=None))
+        chain = _chain_of(got, len(names))
+        yield pd.DataFrame({"model": [pickle.dumps((chain.weights, chain.limit))]})
+
+    out = rows.select("doc_id", "text", "fold", *names).repartition(1).mapInPandas(train, "model binary").collect()
+    return Chain.of(*pickle.loads(bytes(out[0].model))) if out else _chain_of([], len(names))
+
+
+def _chain_of(rows: list[tuple], n_labels: int) -> Chain:
+    labels = np.array([r[3:] for r in rows], float).reshape(len(rows), n_labels)
+    return Chain([r[1] for r in rows], labels, np.array([r[2] for r in rows]))
 
 
 def score(docs: DataFrame, model: Chain, names: tuple[str, ...] = CHAIN) -> DataFrame:
