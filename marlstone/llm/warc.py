@@ -33,6 +33,7 @@ from marlstone.scratch import Scratch
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 128 << 20  # of payloads
 GRID = 1 << 16
+MOST_CELLS = 1_000_000  # 12 bytes each
 LEAST_BYTES = 0
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "file string, records long, bytes long, sha256 string"
@@ -128,13 +129,14 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
-    """Add ``shard``: a number that rises with page_id (null last), with about ``shard_bytes`` of payload each.
+    """Add ``shard``: a number that rises with page_id (null last), with about ``shard_bytes`` of payload each, or more where
+    that would make over ``GRID`` / 4 shards.
 
-    Payload bytes are summed over a grid of the ids' range; grid cells above the target are summed again over a
-    grid of their own. Both grids have ``GRID`` cells at most and the heavy cells are no more than shards, so their sums are small
-    enough to send to all tasks. A range of ids that the second grid can't part stays one shard.
+    Payload bytes are summed over a grid of ``GRID`` cells of the ids' range; cells above the target, ``GRID`` / 4 at most, are summed again over a
+    grid of their own. The sums are counted, and sent to all tasks only up to ``MOST_CELLS`` rows. A range of ids that the second grid can't part stays one shard.
     """
     spans = rows.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum(F.length("payload")).alias("n")).first()
+    shard_bytes = max(shard_bytes, 4 * (spans.n or 0) // GRID)
     low, span = spans.low or 0, (spans.high or 0) - (spans.low or 0) + 1
     wide = -(-span // GRID)
     fine = max(1, -(-wide // GRID))
@@ -147,7 +149,9 @@ def sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
     cells = coarse.where(F.col("n") <= shard_bytes).select("_cell", F.lit(-1).alias("_sub"), "n").union(part.select("_cell", "_sub", "n"))
     upto = F.sum("n").over(Window.orderBy("_cell", "_sub")) - F.col("n")
     cells = cells.select(F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.floor(upto / shard_bytes).cast("int").alias("shard"))
-    return rows.join(F.broadcast(cells), (F.col("_cell") == F.col("_c")) & F.col("_s").isin(-1) | (F.col("_cell") == F.col("_c")) & (F.col("_sub") == F.col("_s"))).drop("_cell", "_sub", "_c", "_s")
+    cells = Scratch(rows.sparkSession, "warc-cells").table("cells", cells)
+    cells = F.broadcast(cells) if cells.count() <= MOST_CELLS else cells
+    return rows.join(cells, (F.col("_cell") == F.col("_c")) & F.col("_s").isin(-1) | (F.col("_cell") == F.col("_c")) & (F.col("_sub") == F.col("_s"))).drop("_cell", "_sub", "_c", "_s")
 
 
 def write(pages: DataFrame, path: str, roll: int = ROLL_BYTES, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
