@@ -24,6 +24,7 @@ ORDER = 4
 DOCS_PER_LANGUAGE = 400  # bound of the training sample
 LONGEST = 20_000  # characters of a text in the training sample
 BLOCK = 1 << 19  # bytes scored at once
+PART = 1 << 22  # bytes of texts that are laid out at once
 UNKNOWN = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,7 +123,16 @@ class Model:
         return out
 
     def lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Code length of each text data[offsets[i]:offsets[i + 1]] in each language."""
+        """Code length of each text data[offsets[i]:offsets[i + 1]] in each language, for a few MB of texts at a time."""
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        s = 0
+        while s < len(out):
+            e = max(s + 1, int(np.searchsorted(offsets, offsets[s] + PART, side="right")) - 1)
+            out[s:e] = self._lengths(offsets[s : e + 1], data)
+            s = e
+        return out
+
+    def _lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         n, d = len(offsets) - 1, self.order
         size = np.diff(offsets)
         doc = np.repeat(np.arange(n), size)
