@@ -1,14 +1,13 @@
 r"""Personal data, and terms that reveal it, with built-in functions only.
 
-Entities (email, ip, card, phone) are found by patterns in whole texts. A term that stands near an entity in several different
-texts, and seldom elsewhere, reveals the entity even after that is removed. How strongly is estimated from the
+Entities (email, ip, card, phone) are found by patterns in whole texts. A term that stands in several different
+texts with an entity, and seldom elsewhere, reveals the entity even after that is removed. How strongly is estimated from the
 corpus: pointwise mutual information of term and entity over the entity's own information content,
 
     disclosure = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e)),
 
-with N the number of different texts, n(t) and n(e) of those with the term or entity, n(t, e) of those with the term
-within ``NEAR`` characters of the entity. It is 1 where the term occurs with the entity only. Terms above
-``REMOVE`` are removed, terms above ``GENERALISE`` give way to a class. Copies of a text count once.
+with N the number of different texts, n(t) and n(e) of those with the term or entity, n(t, e) of those with both, wherever they stand. It is 1 where the term occurs with the entity only. Terms above
+``REMOVE`` are removed, terms above ``GENERALISE`` give way to a class, at every place in the entity's texts. Copies of a text count once.
 
 Positions are code points. Spark has no function for the positions of all matches, but a text split at a pattern gives the
 pieces between its matches, and their lengths add up to the positions.
@@ -33,7 +32,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
-NEAR = 60
+#: Up to 100 terms with what follows them: positions are added up in parts, as a sum over n pieces takes n ** 2 steps.
+PART = r"(?:[\p{L}\p{N}]++[^\p{L}\p{N}]*+){1,100}+|[^\p{L}\p{N}]++"
 SUPPORT = 3  # different texts
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<start:int,k:int,end:int,hit:string>>"
@@ -118,33 +118,32 @@ def find(docs: DataFrame, run: Scratch, keep: list[str], support: int = SUPPORT,
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, F.xxhash64(text).alias("_text"), text.alias("_t")).withColumn("spans", base_spans(F.col("_t")))
-
-    def around(s):
-        low = F.greatest(s["start"] - NEAR, F.lit(0))
-        return F.struct(entity(s["k"], s["hit"]).alias("entity"), low.alias("low"), F.substring(F.col("_t"), low + 1, s["end"] - low + NEAR).alias("near"))
-
-    rows = rows.withColumn("_near", F.transform("spans", around)).drop("_t")
+    rows = rows.withColumn("_t", F.when(F.size("spans") > 0, F.col("_t")))
     rows = run.table("base", rows.withColumn("_row", F.monotonically_increasing_id()))
-    near = rows.where(F.size("_near") > 0).select("_row", "_text", "spans", F.explode("_near").alias("x")).select("_row", "_text", "spans", "x.*")
-    said = near.select("_row", "_text", "entity", "spans", "low", F.char_length("near").alias("width"), F.explode(matches(F.col("near"), TERM)).alias("m"))
+    held = rows.where(F.size("spans") > 0).select("_row", "_text", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["k"], s["hit"])))).alias("entity"))
+    # No term is in more texts with an entity than the entity itself.
+    n_e = run.table("entities", held.select("entity", "_text").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support))
+    held = run.table("held", held.join(n_e, "entity").select("_row", "_text", "entity"))
+    by_text = held.select("_text", "entity").distinct()
+    said = rows.join(held.select("_row").distinct(), "_row", "left_semi").select("_row", "_text", "spans", F.explode(matches(F.col("_t"), PART)).alias("p"))
+    said = said.select("_row", "_text", "spans", F.col("p.start").alias("low"), F.explode(matches(F.col("p.hit"), TERM)).alias("m"))
     said = said.withColumn("start", F.col("low") + F.col("m.start")).withColumn("end", F.col("low") + F.col("m.end"))
-    # A word at the window's edge may be cut; parts of entities are no terms.
-    whole = ((F.col("m.start") > 0) | (F.col("low") == 0)) & (F.col("m.end") < F.col("width"))
+    # Parts of entities are no terms.
     apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    said = run.table("said", said.where(whole & apart).select("_row", "_text", "entity", F.lower("m.hit").alias("term"), "start", "end"))
-    n_te = said.select("entity", "term", "_text").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    said = run.table("said", said.where(apart).select("_row", "_text", F.lower("m.hit").alias("term"), "start", "end"))
+    n_te = said.select("_text", "term").distinct().join(by_text, "_text").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     n_te = run.table("together", n_te)
     none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,disclosure:double>>)")
     if not n_te.limit(1).count():
         return rows.select(*keep, "spans", none.alias("terms"))
-    n_e = near.select("entity", "_text").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = docs.select(F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = words.join(n_te.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = rows.select("_text").distinct().count()
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     flagged = n_te.join(n_e, "entity").join(n_t, "term").where(info > 0).select("entity", "term", (told / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    terms = said.join(flagged, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    told_by = by_text.join(flagged, "entity").groupBy("_text", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = said.join(told_by, ["_text", "term"]).select("_row", "start", "end", "disclosure")
     terms = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", "disclosure"))).alias("_terms"))
     return rows.join(terms, "_row", "left").select(*keep, "spans", F.coalesce("_terms", none).alias("terms"))
 

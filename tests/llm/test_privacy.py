@@ -67,3 +67,14 @@ def test_revealing_terms_against_plain_counts(spark):
         assert {r.text[s.start : s.end].lower() for s in r.terms} == (want & tokens[r.text] if "zor@blat.org" in r.text else set())
     clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
     assert "[EMAIL]" in clean[3] and "zor" not in clean[3].lower() and "call" in clean[3] and clean[10] == rows[6][1]
+
+
+def test_revealing_terms_far_from_the_entity(spark):
+    """A term is found at every place of the entity's texts, also when it never stands beside the entity."""
+    far = " ".join(f"word{i}" for i in range(250))
+    rows = [(i, f"é😀 Zorblat, {far} to zor@blat.org {far} from Quux. zorblat {i}") for i in range(4)] + [(20 + i, f"é other text {i} to {far} from") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in privacy.find(df, Scratch(spark, "t"), ["doc_id", "text"]).collect():
+        assert [r.text[s.start : s.end] for s in r.terms] == (["Zorblat", "Quux", "zorblat"] if r.doc_id < 20 else [])
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
+    assert clean[2] == f"é😀 , {far} to [EMAIL] {far} from .  2" and clean[20] == rows[4][1]
