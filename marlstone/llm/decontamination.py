@@ -6,7 +6,8 @@ permutation, ``bins`` bins, the least hash in each. An item's shingles are binne
 every class. A document is a candidate for an item if one bin holds the same hash in both: of
 t shingles that they share each survives in its bin with probability exp(-size / bins) >= 0.6,
 so that an item of ten shingles of which eight occur is missed with probability 0.4 ** 8 < 0.001,
-however long the document is. Candidates are verified by exact containment of the item's shingles (the words
+however long the document is. Items of fewer than ``FEW`` shingles, whose every shingle counts, are looked up by all shingles
+of a document instead, so that none is missed. Candidates are verified by exact containment of the item's shingles (the words
 themselves, not their hashes) in the whole document.
 
 Items of up to ``broadcast_items`` shingles in all are sent to all tasks; beyond that the signatures are joined.
@@ -26,6 +27,7 @@ from marlstone.llm.text import WordHashes, shingles_of, words_of
 
 N = 5
 THRESHOLD = 0.8
+FEW = 10  # items of fewer different shingles are searched by each of them
 BROADCAST_SHINGLES = 2_000_000  # 8 bytes each, and about 100 of Python objects for those of candidates
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,9 +64,14 @@ class Index:
         self.own = [shingles_of(hashes.of(w), n) for _, w in self.items]
         self.grams: dict[int, set] = {}
         self.classes: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        #: Of items of few shingles; they need no signature.
+        self.few_seen = np.zeros(1 << 20, bool)
         for i, own in enumerate(self.own):
-            for h in set(own.tolist()):
-                self.by_hash[h].append(i)
+            if len(own := np.unique(own)) < FEW:
+                self.own[i] = own[:0]
+                self.few_seen[(own >> np.uint64(44)).astype(np.int64)] = True
+                for h in own.tolist():
+                    self.by_hash[h].append(i)
 
     def of_class(self, c: int):
         if c not in self.classes:
@@ -80,12 +87,13 @@ class Index:
         return self.classes[c]
 
     def candidates(self, shingles: np.ndarray) -> set[int]:
-        """Items of which a signature bin agrees; the bin is a part of the hash, so equal hashes are in equal bins."""
+        """Items of few shingles that share one, and others of which a signature bin agrees; the bin is a part of the hash, so equal hashes are in equal bins."""
         c = size_class(len(shingles))
         seen, least = self.of_class(c)
         sig = signature(shingles, bins_of(c))
         hit = sig[seen[(sig >> np.uint64(44)).astype(np.int64)]]
-        return {i for h in hit.tolist() for i in least.get(h, ())}
+        few = shingles[self.few_seen[(shingles >> np.uint64(44)).astype(np.int64)]]
+        return {i for h in hit.tolist() for i in least.get(h, ())} | {i for h in few.tolist() for i in self.by_hash.get(h, ())}
 
     def search(self, text: str | None, hashes: WordHashes, threshold: float) -> list[tuple]:
         words = words_of(text)
@@ -133,7 +141,7 @@ def search(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THR
 
 
 def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The same search for sets of items of any size: signatures are joined on (class, bin's hash), then texts on the pairs."""
+    """The same search for sets of items of any size: signatures (and, as class -1, all shingles for items of few) are joined on (class, hash), then texts on the pairs."""
     key, name = items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
     lengths = [r[0] for r in items.select(F.least(F.size(F.expr(r"regexp_extract_all(text, '(?U)\\w+', 0)")), F.lit(n)).alias("k")).where("k > 0").distinct().collect()]
     classes = range(0, 16)
@@ -147,6 +155,7 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> Data
                 for k in lengths:
                     if len(h) >= k:
                         s = shingles_of(h, k)
+                        rows += [(d, -1, int(x)) for x in np.unique(s).view(np.int64)]
                         c = size_class(len(s))
                         sig = signature(s, bins_of(c))
                         rows += [(d, c, int(x)) for x in sig[sig != _TOP].view(np.int64)]
@@ -158,6 +167,9 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> Data
             rows = []
             for i, t in zip(b["item_id"], b["text"]):
                 s = shingles_of(hashes.of(words_of(t)), n)
+                if len(few := np.unique(s)) < FEW:
+                    rows += [(i, -1, int(x)) for x in few.view(np.int64)]
+                    continue
                 for c in classes:
                     sig = signature(s, bins_of(c)) if c < 8 else s
                     rows += [(i, c, int(x)) for x in np.unique(sig[sig != _TOP]).view(np.int64)]

@@ -52,3 +52,11 @@ def test_empty_and_clean(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f", ""), (2, "a b c", ""), (None, None, None)], DOCS)
     assert {r.doc_id for r in dc.clean(docs, items).collect()} == {2, None}
     assert dc.clean(docs, items.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("most", [dc.BROADCAST_SHINGLES, 0])
+def test_short_items_in_long_documents(spark, most):
+    docs = [(k, " ".join(f"w{k}_{i}" for i in range(120))) for k in range(100)]
+    items = [(100 * n + k, " ".join(docs[k][1].split()[30 : 30 + n])) for n in (2, 4, 5, 6, 7) for k in range(100)]
+    got = dc.search(spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame(items, ITEMS), most=most)
+    assert rows(got) == {(i % 100, i, 1.0) for i, _ in items}
