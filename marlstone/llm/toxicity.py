@@ -4,7 +4,8 @@ The label columns are predicted one after the other by linear (logistic) models
 character 4-grams of words. Each model also sees the earlier columns' probabilities. It is trained with
 out-of-fold ones: for every fold, the earlier model is fitted on the other folds and predicts this one, so
 that a later model learns how far to trust probabilities like those it will see. For prediction each column's model
-is fitted on all folds. The last column's threshold is the one that is best on out-of-fold probabilities.
+is fitted on all folds. The last column's threshold is the one that is best on out-of-fold probabilities,
+each weighted by the labelled rows it stands for, so that the sample's bound doesn't shift it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,7 +158,7 @@ def fit_one(x: Rows, earlier: np.ndarray, y: np.ndarray, on: np.ndarray, steps:
 class Chain:
     """Fitted models of the label columns, in order."""
 
-    def __init__(self, texts: list[str | None], labels: np.ndarray, folds: np.ndarray, n_folds: int = FOLDS):
+    def __init__(self, texts: list[str | None], labels: np.ndarray, folds: np.ndarray, n_folds: int = FOLDS, shares: np.ndarray | None = None):
         x, n = Rows(texts), len(texts)
         self.weights: list[np.ndarray] = []
         self.limit = 0.5
@@ -171,7 +173,7 @@ class Chain:
             self.weights.append(fit_one(x, out_of_fold, y, np.ones(n, bool)))
             out_of_fold = np.column_stack([out_of_fold, EARLIER * p])
         if labels.shape[1]:
-            self.limit = best_limit(p, y)
+            self.limit = best_limit(p, y, shares)
 
     @classmethod
     def of(cls, weights: list[np.ndarray], limit: float) -> "Chain":
@@ -184,12 +186,13 @@ class Chain:
         return x.dot(w[: 1 << BITS]) + earlier @ w[1 << BITS : -1] + w[-1]
 
 
-def best_limit(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds whose F1 is within 0.7 % of the best; 1 if there are no positives."""
+def best_limit(p: np.ndarray, y: np.ndarray, shares: np.ndarray | None = None) -> float:
+    """The middle of the thresholds whose F1, rows weighted by ``shares``, is within 0.7 % of the best; 1 if there are no positives."""
     if not y.any():
         return 1.0
     order = np.argsort(-p, kind="stable")
-    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(p) + 1) + y.sum())
+    w = np.ones(len(p)) if shares is None else shares
+    f1 = 2 * np.cumsum((w * y)[order]) / (np.cumsum(w[order]) + (w * y).sum())
     good = np.flatnonzero(f1 >= 0.993 * f1.max())
     ps = np.append(p[order], 0.0)
     return float((ps[good[0]] + ps[good[-1] + 1]) / 2)
@@ -242,19 +245,29 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], most: int
     # Bounded by ``most``, so safe to broadcast.
     rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)))
     names = list(chain)
+    # A row for each combination of labels.
+    totals = {tuple(map(float, r[:-1])): r[-1] for r in known.groupBy(*names).count().collect()}
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted(r for b in batches for r in b[["doc_id", "text", "fold", *names]].itertuples(index=False, name=None))
-        chain = _chain_of(got, len(names))
+        chain = _chain_of(got, len(names), totals)
         yield pd.DataFrame({"model": [pickle.dumps((chain.weights, chain.limit))]})
 
     out = rows.select("doc_id", "text", "fold", *names).repartition(1).mapInPandas(train, "model binary").collect()
     return Chain.of(*pickle.loads(bytes(out[0].model))) if out else _chain_of([], len(names))
 
 
-def _chain_of(rows: list[tuple], n_labels: int) -> Chain:
+def shares_of(labels: np.ndarray, totals: dict[tuple, int]) -> np.ndarray:
+    """How many labelled rows each row of the sample stands for, by its combination of labels."""
+    kinds = list(map(tuple, labels.tolist()))
+    there = Counter(kinds)
+    return np.array([totals[k] / there[k] for k in kinds], float)
+
+
+def _chain_of(rows: list[tuple], n_labels: int, totals: dict[tuple, int] | None = None) -> Chain:
     labels = np.array([r[3:] for r in rows], float).reshape(len(rows), n_labels)
-    return Chain([r[1] for r in rows], labels, np.array([r[2] for r in rows]))
+    shares = shares_of(labels, totals) if totals else None
+    return Chain([r[1] for r in rows], labels, np.array([r[2] for r in rows]), shares=shares)
 
 
 def score(docs: DataFrame, model: Chain, names: tuple[str, ...] = CHAIN) -> DataFrame:

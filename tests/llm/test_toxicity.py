@@ -46,3 +46,26 @@ def test_edges(spark):
     kept = toxicity.clean(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2}
     assert toxicity.clean(docs.limit(0), labels).count() == 0
+
+
+def test_limit_of_a_capped_sample():
+    """The limit of a sample that holds a tenth of the clean rows is that of all rows."""
+    rng = np.random.default_rng(1)
+    toxic, clean = rng.normal(0.65, 0.15, 400), rng.normal(0.35, 0.15, 400)
+    p, y = np.concatenate([toxic, np.repeat(clean, 10)]), np.repeat([1.0, 0.0], [400, 4000])
+    part, label = np.concatenate([toxic, clean]), np.repeat([1.0, 0.0], 400)
+    shares = toxicity.shares_of(label[:, None], {(1.0,): 400, (0.0,): 4000})
+    assert np.isclose(toxicity.best_limit(part, label, shares), toxicity.best_limit(p, y))
+    assert toxicity.best_limit(part, label) < toxicity.best_limit(p, y) - 0.05
+
+
+def test_bound_of_the_sample_reaches_the_limit(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 10)) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.shares_of
+    model = toxicity.fit(docs, labels, toxicity.label_columns(), most=10)
+    rows = [(i, f"plain words {i}", 0, False, i < 10) for i in range(20)]
+    monkeypatch.setattr(toxicity, "shares_of", lambda *a: seen.append(real(*a)) or seen[-1])
+    toxicity._chain_of(rows, 2, {(0.0, 1.0): 10, (0.0, 0.0): 50})
+    assert sorted(set(seen[0])) == [1.0, 5.0] and 0 <= model.limit <= 1
