@@ -121,9 +121,9 @@ def test_digest_does_not_depend_on_order(spark):
 
 
 def test_predicates(spark):
-    assert predicates.PREDICATES["cert_gate_green"].version == "v1"
+    assert predicates.PREDICATES["cert_gate_green"].version == "1"
     with pytest.raises(ValueError):
-        predicates.predicate("cert_gate_green", "v1")(lambda: F.lit(True))
+        predicates.predicate("cert_gate_green", "1")(lambda: F.lit(True))
     df = spark.createDataFrame([({k: "pass" for k in "abcde"},), ({k: "pass" for k in "abcd"},), ({**{k: "pass" for k in "abcd"}, "e": "fail"},)], "clauses map<string,string>")
     assert [r[0] for r in df.select(predicates.cert_gate_green()).collect()] == [True, False, False]
     e = spark.createDataFrame([([(0.2, 0.0)] * 3 + [(0.0, 1.0)],), ([(0.2, 1.0)] * 3,), ([(0.2, -1.0)] + [(0.2, 1.0)] * 3,)], "epochs array<struct<spearman:double,yield:double>>")
