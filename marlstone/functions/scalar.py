@@ -88,22 +88,36 @@ def content_digest(df: DataFrame, kinds: dict[str, str], sort: list[str]) -> str
     return digest.hexdigest()
 
 
-def column_digests(df: DataFrame, order: str) -> DataFrame:
-    """(part, column, sha256) of each column's little-endian doubles in ``order``, by range part; parts are then combined in order."""
-    cols = [c for c, t in df.dtypes if t in ("double", "bigint", "int", "float") and c != order]
-
-    def run(batches):
-        held = {c: hashlib.sha256() for c in cols}
-        part = None
-        for b in batches:
-            part = b["_part"].iloc[0] if len(b) else part
-            for c in cols:
-                held[c].update(b[c].to_numpy("<f8").tobytes())
-        if part is not None:
-            yield pd.DataFrame([(int(part), c, h.hexdigest()) for c, h in held.items()], columns=["part", "column", "sha256"])
-
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    return dealt.mapInPandas(run, "part int, column string, sha256 string")
+SNAPSHOT = {"open": "<f8", "high": "<f8", "low": "<f8", "close": "<f8", "volume": "<f8", "quote_volume": "<f8", "trades": "<i8", "taker_buy_base": "<f8", "taker_buy_quote": "<f8"}
+
+
+def snapshot_digest(bars: DataFrame, columns: dict[str, str] = SNAPSHOT, scheme: str = "snap_digest_v1") -> tuple[str, int, tuple[str, str]]:
+    """(digest, rows, range of ts) of a snapshot: sha256 over the scheme, the number of rows, each column's name and its little-endian values in order of ts, and the range.
+
+    One hash over a column after the other is serial by definition. Rows are dealt by range of ts and written; each task packs its columns, and the driver reads
+    one column's packed parts in order, one part at a time.
+    """
+    from marlstone.scratch import Scratch
+
+    run = Scratch(bars.sparkSession, "snapshot")
+    dealt = run.table("dealt", bars.select("ts", *columns).repartitionByRange("ts").sortWithinPartitions("ts").withColumn("_p", F.spark_partition_id()))
+
+    def pack(batches):
+        for i, b in enumerate(batches):
+            for part, g in b.groupby("_p"):
+                yield pd.DataFrame([(int(part), i, c, g[c].to_numpy().astype(k).tobytes()) for c, k in columns.items()], columns=["part", "i", "name", "bytes"])
+
+    parts = dealt.repartition("_p").sortWithinPartitions("_p", "ts").mapInPandas(pack, "part int, i int, name string, bytes binary")
+    parts = run.table("packed", parts)
+    n, first, last = dealt.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+    ends = tuple(str(pd.Timestamp(t)) if t is not None else "" for t in (first, last))
+    digest = hashlib.sha256(f"{scheme}n={n}".encode())
+    for c in columns:
+        digest.update(c.encode())
+        for r in parts.where(F.col("name") == c).orderBy("part", "i").select("bytes").toLocalIterator():
+            digest.update(r[0])
+    digest.update("|".join(ends).encode())
+    return digest.hexdigest(), n, ends
 
 
 def changed_since(rows: DataFrame, by: str, order: str, col: str) -> DataFrame:

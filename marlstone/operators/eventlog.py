@@ -12,6 +12,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marlstone.functions.scalar import canonical
 
 TYPES = {"signup": "register", "purchase": "request", "view": "record", "error": "void", "click": "note"}
 
@@ -77,14 +80,6 @@ def conditionals(log: DataFrame) -> DataFrame:
     return rows.select("lineage", "seq", F.coalesce(F.when(F.col("e.type") == "request", "fired").when(F.col("e.type") == "void", "disarmed"), F.lit("armed")).alias("status"), F.col("e.seq").alias("ended_seq"))
 
 
-def suspend_alarm(log: DataFrame, span: int = 12, at: int = 3, level: float = 60.0) -> DataFrame:
-    """Lineages of whose last ``span`` records ``at`` or more exceed the level, or one exceeds twice the level."""
-    w = Window.partitionBy("lineage").orderBy(F.col("seq").desc())
-    recent = log.where("type = 'record'").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= span)
-    n1, n2 = F.count_if((F.col("value") > level) & (F.col("value") <= 2 * level)), F.count_if(F.col("value") > 2 * level)
-    return recent.groupBy("lineage").agg(n1.alias("n_l1"), n2.alias("n_l2"), ((n1 >= at) | (n2 >= 1)).alias("alarm"))
-
-
 def placebo_class(z: Column, gate: Column, extended: Column, at_shot: Column) -> Column:
     """none, L1 or L2, by strict comparisons; L2 is tested first, and nothing is told without both numbers."""
     return F.when(z.isNull() | gate.isNull(), "none").when((z > extended) | at_shot, "L2").when(z > gate, "L1").otherwise("none")
@@ -131,37 +126,56 @@ def chained(log: DataFrame) -> DataFrame:
     return rows.select("lineage", F.size("e").cast("long").alias("n"), head.alias("head"))
 
 
-def canonical(value) -> bytes:
-    """JSON with sorted keys and no spaces; NaN is refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
-
-
-def event_hash(prev: str, body: str) -> str:
-    return hashlib.sha256(prev.encode() + canonical(json.loads(body))).hexdigest()
+def event_hash(body: dict) -> str:
+    """Hash of an event without its own hash; the hash of the event before is part of it."""
+    return hashlib.sha256(canonical({k: v for k, v in body.items() if k != "event_hash"})).hexdigest()
 
 
-def verify(lines: DataFrame) -> DataFrame:
-    """(n, first_bad_seq, torn_tail) of a log of (seq, prev_hash, event_hash, body), for each ``log`` in it.
+def verify(lines: DataFrame, genesis: str = GENESIS) -> DataFrame:
+    """(log, n, first_bad_seq, torn_tail) of logs of raw JSON lines (log, line_no from 0, raw).
 
-    A row is bad if its hash isn't that of its content, its prev_hash isn't the hash of the row before, or a seq is missing. A last row
-    that can't be parsed is a torn tail, which can be cut off.
+    A line is bad if it isn't JSON, its seq isn't its number, its prev_hash isn't the hash told by the line before (``genesis`` for the first), or its hash isn't
+    that of its content. A last line that isn't JSON is a torn tail, which can be cut off. Each line is rehashed by itself; a lag tells the links.
     """
 
-    @F.pandas_udf("string")
-    def rehash(prev: pd.Series, body: pd.Series) -> pd.Series:
-        def one(p, b):
+    @F.pandas_udf(T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("prev", "told", "made")]]))
+    def read(raw: pd.Series) -> pd.DataFrame:
+        def one(text):
             try:
-                return event_hash(p, b)
-            except (ValueError, TypeError, AttributeError):
-                return None
+                d = json.loads(text)
+                return int(d["seq"]), str(d["prev_hash"]), str(d["event_hash"]), event_hash(d)
+            except (ValueError, TypeError, KeyError):
+                return None, None, None, None
 
-        return pd.Series([one(p, b) for p, b in zip(prev, body)])
+        return pd.DataFrame([one(t) for t in raw], columns=["seq", "prev", "told", "made"]).astype({"seq": "Int64"})
+
+    w = Window.partitionBy("log").orderBy("line_no")
+    rows = lines.select("log", "line_no", read("raw").alias("e")).withColumns({"_link": F.coalesce(F.lag("e.told").over(w), F.when(F.col("line_no") == 0, F.lit(genesis))), "_last": F.lead("line_no").over(w).isNull()})
+    torn = F.col("e.made").isNull() & F.col("_last")
+    good = (F.col("e.seq") == F.col("line_no")) & (F.col("e.prev") == F.col("_link")) & (F.col("e.told") == F.col("e.made"))
+    return rows.groupBy("log").agg(F.count_if(~torn).alias("n"), F.min(F.when(~torn & ~F.coalesce(good, F.lit(False)), F.col("line_no"))).alias("first_bad_seq"), F.bool_or(torn).alias("torn_tail"))
+
+
+def chain(rows: DataFrame, seq: int, head: str, fields: list[str]) -> DataFrame:
+    """Accepted drafts as events (seq, prev_hash, event_hash, line): each hash covers the one before, so the rows pass one task as a stream, in order of ``_order``.
+
+    ``fields`` are columns of the envelope; ``payload`` and ``cites`` hold JSON. The written line is what was hashed.
+    """
 
-    w = Window.partitionBy("log").orderBy("seq")
-    rows = lines.withColumns({"_hash": rehash("prev_hash", "body"), "_prev": F.coalesce(F.lag("event_hash").over(w), F.lit(GENESIS)), "_seq": F.lag("seq").over(w), "_last": F.lead("seq").over(w).isNull()})
-    torn = F.col("_hash").isNull() & F.col("_last")
-    good = (F.col("_hash") == F.col("event_hash")) & (F.col("prev_hash") == F.col("_prev")) & (F.col("_seq").isNull() | (F.col("seq") == F.col("_seq") + 1))
-    return rows.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~torn & ~F.coalesce(good, F.lit(False)), F.col("seq"))).alias("first_bad_seq"), F.bool_or(torn).alias("torn_tail"))
+    def run(batches):
+        n, prev = seq, head
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                body = {k: None if v is None or v != v else v for k, v in ((k, row[k]) for k in fields if k not in ("payload", "cites"))}
+                body |= {k: json.loads(row[k]) for k in ("payload", "cites") if k in fields}
+                body |= {"seq": n, "prev_hash": prev}
+                body["event_hash"] = event_hash(body)
+                out.append((n, row["event_id"], prev, body["event_hash"], canonical(body).decode()))
+                n, prev = n + 1, body["event_hash"]
+            yield pd.DataFrame(out, columns=["seq", "event_id", "prev_hash", "event_hash", "line"])
+
+    return rows.orderBy("_order").coalesce(1).mapInPandas(run, "seq long, event_id string, prev_hash string, event_hash string, line string")
 
 
 def slot_step(state: dict, kind: str, month: str, grant: int) -> dict:

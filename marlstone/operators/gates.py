@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.semantics import hazen, profit_factor
+from marlstone.functions.semantics import profit_factor
+from marlstone.operators.placing import neighbour, placed, points
 
 
 def circular_twins(pop: DataFrame, by: str, order: list[str], shifts: dict[int, int]) -> DataFrame:
     """For every twin (id: shift) the rows with the profit of the row ``shift`` places before, circularly within a group.
 
-    ``place`` numbers the rows of a group. Groups of two rows or fewer have no twin. Only (group, place, profit) is joined, once for all twins.
+    ``place`` numbers the rows of a group. Groups of two rows or fewer have no twin. Only (group, place, twin, profit) is dealt for each twin; the rows are dealt once.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = pop.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by))).where("_n > 2")
+    rows = placed(pop, [by], order).where("n > 2")
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("twin"), F.lit(s).alias("shift")) for t, s in shifts.items()]))
-    want = rows.select("*", table.alias("_s")).select("*", "_s.twin", F.pmod(F.col("_i") - F.col("_s.shift"), F.col("_n")).alias("_j")).drop("_s", "profit")
-    return want.join(rows.select(F.col(by).alias("_b"), F.col("_i").alias("_k"), "profit"), (F.col(by) == F.col("_b")) & (F.col("_j") == F.col("_k"))).withColumnRenamed("_i", "place").drop("_b", "_k", "_j", "_n")
+    moved = rows.select(F.col(by).alias("_b"), "place", "n", "profit", table.alias("_s")).select("_b", F.col("_s.twin").alias("twin"), F.pmod(F.col("place") + F.col("_s.shift"), F.col("n")).alias("_k"), "profit")
+    return rows.drop("profit", "n").join(moved, (F.col(by) == F.col("_b")) & (F.col("place") == F.col("_k"))).drop("_b", "_k")
 
 
 def twin_verdict(real: DataFrame, twins: DataFrame, by: str, at: int = 4) -> DataFrame:
@@ -36,16 +36,34 @@ def null_of_max(nulls: DataFrame) -> DataFrame:
 
 def gate(maxima: DataFrame, q: float = 0.95) -> DataFrame:
     """The q point of the maxima under both conventions."""
-    return maxima.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", q).alias("gate_linear"), hazen(F.collect_list("z"), q).alias("gate_hazen"))
+    hazen = points(maxima.select(F.lit(0).alias("_g"), "z"), ["_g"], "z", [q]).select(F.col("q0").alias("gate_hazen"))
+    return maxima.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", q).alias("gate_linear")).join(F.broadcast(hazen), how="left")  # one row each
+
+
+def batch_gate(nulls: DataFrame, q: float = 0.95) -> DataFrame:
+    """The gate of a batch of arms: the q point of the place by place greatest of their null scores, null for one arm or none. ``nulls``: arm, null_z (array)."""
+    long = nulls.where(F.size("null_z") > 1).select("arm", F.posexplode("null_z").alias("pos", "z"))
+    top = long.groupBy("pos").agg(F.max("z").alias("z"), F.count_distinct("arm").alias("k"))
+    return top.agg(F.max("k").alias("n_arms"), F.percentile("z", q).alias("_q")).select(F.coalesce("n_arms", F.lit(0)).cast("long").alias("n_arms"), F.when(F.col("n_arms") > 1, F.col("_q")).alias("batch_gate"))
+
+
+def arm_verdict(own: Column, z: Column, bar: Column) -> Column:
+    """An arm can't be certified unless it beats the batch's gate, where there is one."""
+    return F.when((own == "CERTIFIED") & bar.isNotNull() & (F.coalesce(z, F.lit(0.0)) <= bar), "CANDIDATE").otherwise(own)
 
 
 def five_clauses(c: dict[str, Column]) -> list[Column]:
-    """Three-valued clauses: size and factor of the carrier's last window; three good windows; factor kept; both halves good; all reseeds good."""
-    c1 = (c["last_n"] >= 30) & (c["last_pf"] >= 1.3)
-    c2 = c["good_windows"] >= 3
-    c3 = c["pooled_pf"] / F.greatest(c["train_pf"], F.lit(1e-9)) >= 0.70
-    c4 = (c["half1_n"] >= 15) & (c["half2_n"] >= 15) & (c["half1_pf"] >= 1.0) & (c["half2_pf"] >= 1.0)
-    c5 = c["reseeds_good"]
+    """Three-valued clauses: size and factor of the carrier's last window; three good windows; factor kept; both halves good; all reseeds good.
+
+    A missing number fails its clause. The third and the fourth are unknown only where ``has_pool`` or ``has_halves`` is false: results that were made before these
+    fields were. ``reseeds``: array of (jaccard, selected, pooled); each must keep half of the members, be selected and reach ``s0``; none at all is good.
+    """
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    c1 = sure((c["last_n"] >= 30) & (c["last_pf"] >= 1.3))
+    c2 = sure(c["good_windows"] >= 3)
+    c3 = F.when(c.get("has_pool", F.lit(True)), sure((c["pooled_pf"] >= 0) & (c["train_pf"] >= 1e-9) & (F.try_divide(c["pooled_pf"], c["train_pf"]) >= 0.70)))
+    c4 = F.when(c.get("has_halves", F.lit(True)), sure((c["half1_n"] >= 15) & (c["half2_n"] >= 15) & (c["half1_pf"] >= 1.0) & (c["half2_pf"] >= 1.0)))
+    c5 = F.forall(c["reseeds"], lambda r: sure((r["jaccard"] >= 0.50) & r["selected"] & (r["pooled"] >= c["s0"])))
     return [c1, c2, c3, c4, c5]
 
 
@@ -57,13 +75,20 @@ def verdict(clauses: list[Column]) -> Column:
 
 def robust_fit(train: DataFrame, by: list[str], x: str) -> DataFrame:
     """Median, 1 % and 99 % points and quartile range (1 if tiny) of each group, by plotting positions."""
-    v = F.collect_list(x)
-    s = train.groupBy(*by).agg(v.alias("_v"))
-    iqr = hazen(F.col("_v"), 0.75) - hazen(F.col("_v"), 0.25)
-    return s.select(*by, hazen(F.col("_v"), 0.5).alias("med"), hazen(F.col("_v"), 0.01).alias("p1"), hazen(F.col("_v"), 0.99).alias("p99"), F.when(iqr < 1e-10, 1.0).otherwise(iqr).alias("iqr"))
+    p = points(train, by, x, [0.5, 0.01, 0.99, 0.75, 0.25])
+    iqr = F.col("q3") - F.col("q4")
+    return p.select(*by, F.col("q0").alias("med"), F.col("q1").alias("p1"), F.col("q2").alias("p99"), F.when(iqr < 1e-10, 1.0).otherwise(iqr).alias("iqr"))
 
 
 def robust_apply(rows: DataFrame, fit: DataFrame, by: list[str], x: str) -> DataFrame:
     """Impute the median, clamp to 1 % .. 99 %, centre and scale."""
     v = F.coalesce(F.col(x), F.col("med"))
     return rows.join(fit, by).withColumn("scaled", (F.greatest(F.col("p1"), F.least(F.col("p99"), v)) - F.col("med")) / F.col("iqr"))
+
+
+def mutation_audit(rows: DataFrame, by: list[str], order: list[str], col: str, keep: Column, score=F.sum, least: float = 1e-9) -> DataFrame:
+    """Whether a score notices a planted leak: the score of ``col`` over the kept rows, the same with each value taken from the next row, and whether these
+    differ by more than ``least``. ``score`` makes an aggregate of a column."""
+    leak = neighbour(placed(rows.select(*by, *order, col, keep.alias("_keep")), by, order), by, col, "_leak").where("_keep")
+    s, k = score(F.col(col)), score(F.col("_leak"))
+    return leak.groupBy(*by).agg(F.round(s, 2).alias("score"), F.round(k, 2).alias("leaked"), (F.abs(s - k) > least).alias("changed"))

@@ -353,14 +353,15 @@ def placebo_history(log: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def suspend_alarm(marks: DataFrame, flags: DataFrame, span: int = 12, at: int = 3) -> DataFrame:
-    """(lineage, alarm): any L2 ever, or ``at`` L1 among the last ``span`` marks that aren't void, or a flag (lineage) of a void, contested
+    """(lineage, n_l1, l2, alarm): any L2 ever, or ``at`` L1 among the last ``span`` marks that aren't void, or a flag (lineage) of a void, contested
     or forensically failed readout."""
     w = Window.partitionBy("lineage").orderBy(F.col("seq").desc())
     live = marks.where("NOT voided").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= span)
     n1 = live.groupBy("lineage").agg(F.count_if(F.col("class") == "L1").alias("_n1"))
     out = marks.groupBy("lineage").agg(F.bool_or(F.col("class") == "L2").alias("_l2")).join(n1, "lineage", "left")
     out = out.join(flags.select("lineage").distinct().withColumn("_f", F.lit(True)), "lineage", "full")
-    return out.select("lineage", (F.coalesce("_l2", F.lit(False)) | F.coalesce(F.col("_n1") >= at, F.lit(False)) | F.coalesce("_f", F.lit(False))).alias("alarm"))
+    n, l2 = F.coalesce("_n1", F.lit(0).cast("long")), F.coalesce("_l2", F.lit(False))
+    return out.select("lineage", n.alias("n_l1"), l2.alias("l2"), (l2 | (n >= at) | F.coalesce("_f", F.lit(False))).alias("alarm"))
 
 
 def cards(log: DataFrame) -> DataFrame:

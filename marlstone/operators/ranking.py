@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.placing import placed
+from marlstone.scratch import Scratch
+
 GRID = {"strategy": ["A", "B", "C"], "sl_atr_mult": [1.0, 1.5, 2.0], "tp_atr_mult": [1.0, 1.5, 2.0, 2.5, 3.0], "donchian": [20, 40, 60], "atr_fast": [7, 14], "days": ["all", "no_mon", "no_fri", "mid"]}
 
 
@@ -19,14 +22,11 @@ def grid(spark: SparkSession, values: dict = GRID) -> DataFrame:
 def systematic_sample(rows: DataFrame, key: str, family: Column, about: int) -> DataFrame:
     """The whole family and every step-th of the rest in key order, step = max(1, rest // about).
 
-    Numbers are dealt by key range: counts of the ranges, then a running number within each.
+    Rows are numbered over ranges of the key.
     """
     rest = rows.where(~family)
     step = max(1, rest.count() // about)
-    dealt = rest.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    ahead = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    numbered = dealt.join(ahead, F.col("_p") == F.col("_q")).withColumn("_r", F.col("_ahead") + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    return rows.where(family).select(*rows.columns).unionByName(numbered.where(F.col("_r") % step == 0).select(*rows.columns))
+    return rows.where(family).select(*rows.columns).unionByName(placed(rest, [], [key]).where(F.col("place") % step == 0).select(*rows.columns))
 
 
 def lex_key(*cols: Column) -> Column:
@@ -42,15 +42,21 @@ def jaccard(a: Column, b: Column) -> Column:
 def promote(cards: DataFrame, capacity: int, share: float) -> DataFrame:
     """(key, score, how): the best ``capacity - int(capacity * share)`` by score, then the rest by least overlap with these, others parked.
 
-    ``cards``: key, score, ids. Both cuts are limits on an ordering, so no window runs over all cards; the promoted ones are ``capacity`` at most
-    and are sent to all tasks. Without ids on a card its place for novelty stays unfilled.
+    ``cards``: key, score, ids. Both cuts are limits on an ordering, so no window runs over all cards. Overlaps are counts of shared ids by a join; of the
+    promoted cards' ids, which may be many, none is gathered. Without ids on a card its place for novelty stays unfilled.
     """
     novel = int(capacity * share)
-    top = cards.orderBy(F.col("score").desc_nulls_last(), "key").limit(capacity - novel)
-    rest = cards.join(F.broadcast(top.select("key")), "key", "left_anti")
-    held = F.broadcast(top.select(F.col("ids").alias("_ids")).agg(F.collect_list("_ids").alias("_held")))
-    overlap = F.coalesce(F.array_max(F.transform("_held", lambda h: jaccard(F.col("ids"), h))), F.lit(0.0))
-    fresh = rest.where(F.size("ids") > 0).join(held).withColumn("overlap", overlap).orderBy("overlap", F.col("score").desc_nulls_last(), "key").limit(novel)
+    run = Scratch(cards.sparkSession, "promote")
+    best = [F.col("score").desc_nulls_last(), F.col("key")]
+    top = run.table("top", cards.select("key", "score").orderBy(*best).limit(capacity - novel).select("key"))
+    ids = cards.select("key", F.explode(F.array_distinct("ids")).alias("_id"))
+    held = ids.join(F.broadcast(top), "key", "left_semi").select(F.col("key").alias("_top"), "_id")  # ``top`` has ``capacity`` keys at most
+    both = ids.join(F.broadcast(top), "key", "left_anti").join(held, "_id").groupBy("key", "_top").agg(F.count(F.lit(1)).alias("_both"))
+    sizes = cards.select("key", F.size(F.array_distinct("ids")).alias("_n"))
+    both = both.join(sizes, "key").join(F.broadcast(sizes.join(F.broadcast(top), "key", "left_semi").select(F.col("key").alias("_top"), F.col("_n").alias("_m"))), "_top")
+    most = both.groupBy("key").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_o"))
+    rest = cards.where(F.size("ids") > 0).select("key", "score").join(F.broadcast(top), "key", "left_anti")
+    fresh = rest.join(most, "key", "left").withColumn("overlap", F.coalesce("_o", F.lit(0.0))).orderBy("overlap", *best).limit(novel)
     named = top.select("key", F.lit("score").alias("how")).unionByName(fresh.select("key", F.lit("novelty").alias("how")))
     return cards.select("key", "score").join(F.broadcast(named), "key", "left").withColumn("how", F.coalesce("how", F.lit("parked")))
 

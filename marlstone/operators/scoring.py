@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.semantics import profit_factor
+from marlstone.operators.placing import placed
 
 P = F.col
 
@@ -39,14 +40,11 @@ def rank_transfer_rows(masked: DataFrame, by: list[str], last: int, floor: int =
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation, ties by average rank, over rows that have both. Ranks come from counts of equal values, by a range-sorted window."""
-    from pyspark.sql import Window
-
+    """Rank correlation, ties by average rank, over rows that have both."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
-        counts = both.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
-        upto = counts.select(F.col(c).alias("_v"), (F.sum("_k").over(Window.orderBy(c)) - (F.col("_k") - 1) / 2).alias(f"_r_{c}"))
-        both = both.join(upto, F.col(c) == F.col("_v")).drop("_v")
+        ranks = placed(both.select(F.col(c).alias("_v")), [], ["_v"]).groupBy("_v").agg((F.avg("place") + 1).alias(f"_r_{c}"))
+        both = both.join(ranks, F.col(c) == F.col("_v")).drop("_v")
     return both.agg(F.count(F.lit(1)).alias("n"), F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"))
 
 

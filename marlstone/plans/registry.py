@@ -217,9 +217,9 @@ def deal_pairing(spark: SparkSession, d: str) -> DataFrame:
     return lookups.positional(ins, outs, "o_custkey", ["in_key"], ["out_key"]).select("o_custkey", F.col("k").cast("long").alias("k"), "in_key", "out_key", (F.col("out_key") > F.col("in_key")).alias("valid"))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
 def fk_anti(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.missing(tables.table(spark, d, "customer"), tables.table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    return lookups.missing(tables.table(spark, d, "customer"), tables.table(spark, d, "orders").where("o_totalprice > 400000"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("SELECT p_brand, count(*)::BIGINT AS n_missing, array_to_string(list_slice(list_sort(list(p_partkey)), 1, 10), ',') AS first_missing FROM part ANTI JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) ON p_partkey = l_partkey GROUP BY p_brand")
@@ -334,9 +334,17 @@ def conditional_fired(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.conditionals(_log(spark, d))
 
 
-@query(LOG + " SELECT lineage, count(*) FILTER (WHERE value > 60 AND value <= 120)::BIGINT AS n_l1, count(*) FILTER (WHERE value > 120)::BIGINT AS n_l2, count(*) FILTER (WHERE value > 60 AND value <= 120) >= 3 OR count(*) FILTER (WHERE value > 120) >= 1 AS alarm FROM (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY seq DESC) AS r FROM log WHERE type = 'record') WHERE r <= 12 GROUP BY lineage")
+@query(LOG + """, m AS (SELECT lineage, seq, CASE WHEN value > 250 THEN 'L2' WHEN value > 60 THEN 'L1' ELSE 'none' END AS class, seq % 7 = 3 AS voided FROM log WHERE type = 'record'),
+w AS (SELECT lineage, class, row_number() OVER (PARTITION BY lineage ORDER BY seq DESC) AS r FROM m WHERE NOT voided), n AS (SELECT lineage, count(*) FILTER (WHERE class = 'L1' AND r <= 12) AS n1 FROM w GROUP BY lineage),
+l AS (SELECT lineage, bool_or(class = 'L2') AS l2 FROM m GROUP BY lineage), f AS (SELECT DISTINCT lineage, true AS f FROM log WHERE type = 'void' AND value > 150)
+SELECT lineage, coalesce(n1, 0)::BIGINT AS n_l1, coalesce(l2, false) AS l2, coalesce(l2, false) OR coalesce(n1, 0) >= 3 OR coalesce(f, false) AS alarm FROM l FULL JOIN n USING (lineage) FULL JOIN f USING (lineage)""")
 def suspend_alarm(spark: SparkSession, d: str) -> DataFrame:
-    return eventlog.suspend_alarm(_log(spark, d))
+    """Marks of records, every seventh of them void, and lineages that are flagged by a large void."""
+    from marlstone.operators import projections
+
+    log, v = _log(spark, d), F.col("value")
+    marks = log.where("type = 'record'").select("lineage", "seq", F.when(v > 250, "L2").when(v > 60, "L1").otherwise("none").alias("class"), (F.col("seq") % 7 == 3).alias("voided"))
+    return projections.suspend_alarm(marks, log.where("type = 'void' AND value > 150"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 11 = 0 THEN 'none' WHEN value > 100 OR event_id % 17 = 0 THEN 'L2' WHEN value > 50 THEN 'L1' ELSE 'none' END AS class FROM events")
@@ -392,29 +400,40 @@ def null_of_max_gate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(gates.gate(gates.null_of_max(x)))
 
 
-FIVE = POP + """, q AS (SELECT l_partkey % 100 AS config, win_id, train, profit, row_number() OVER (PARTITION BY l_partkey % 100, win_id = 4 ORDER BY entry_ts, key, l_extendedprice) AS r, count(*) FILTER (WHERE win_id = 4) OVER (PARTITION BY l_partkey % 100) AS n4 FROM masked)"""
+FIVE = POP + """, q AS (SELECT l_partkey % 100 AS config, win_id, train, profit, l_quantity AS qty, row_number() OVER (PARTITION BY l_partkey % 100, win_id = 4 ORDER BY entry_ts, key, l_extendedprice) AS r, count(*) FILTER (WHERE win_id = 4) OVER (PARTITION BY l_partkey % 100) AS n4 FROM masked)"""
 
 
 def _pf(where: str) -> str:
     return f"(sum(profit) FILTER (WHERE ({where}) AND profit > 0) / nullif(-sum(profit) FILTER (WHERE ({where}) AND profit <= 0), 0))"
 
 
+_RESEEDS = {1: 20, 2: 30}  # members of a reseeded carrier: rows over this quantity; of the carrier itself: over 10
+
+
 @query(FIVE + f""", a AS (SELECT config, count(*) FILTER (WHERE win_id = 4) AS last_n, {_pf('win_id = 4')} AS last_pf, {" + ".join(f"coalesce({_pf(f'win_id = {i}')} >= 1.0, false)::INTEGER" for i in range(1, 5))} AS good, {_pf('win_id >= 2')} AS pooled, {_pf('train')} AS train_pf,
- count(*) FILTER (WHERE win_id = 4 AND r <= n4 // 2) AS h1n, count(*) FILTER (WHERE win_id = 4 AND r > n4 // 2) AS h2n, {_pf('win_id = 4 AND r <= n4 // 2')} AS h1, {_pf('win_id = 4 AND r > n4 // 2')} AS h2 FROM q GROUP BY config),
-c AS (SELECT config, [last_n >= 30 AND last_pf >= 1.3, good >= 3, pooled / greatest(train_pf, 1e-9) >= 0.7, h1n >= 15 AND h2n >= 15 AND h1 >= 1.0 AND h2 >= 1.0, CASE WHEN config % 3 = 0 THEN NULL ELSE config % 5 > 0 END] AS c FROM a)
-SELECT config, CASE WHEN list_contains(c, false) THEN 'FAILED' WHEN len(list_filter(c, lambda x: x IS NULL)) > 0 THEN 'CANDIDATE' ELSE 'CERTIFIED' END AS verdict FROM c""")
+ count(*) FILTER (WHERE win_id = 4 AND r <= n4 // 2) AS h1n, count(*) FILTER (WHERE win_id = 4 AND r > n4 // 2) AS h2n, {_pf('win_id = 4 AND r <= n4 // 2')} AS h1, {_pf('win_id = 4 AND r > n4 // 2')} AS h2, count(*) FILTER (WHERE qty > 10) AS nc,
+ {", ".join(f"count(*) FILTER (WHERE qty > {t}) AS j{k}, coalesce({_pf(f'train AND qty > {t}')} >= 0.4, false) AS s{k}, {_pf(f'win_id >= 2 AND qty > {t}')} AS p{k}" for k, t in _RESEEDS.items())} FROM q GROUP BY config),
+c AS (SELECT config, [coalesce(last_n >= 30 AND last_pf >= 1.3, false), good >= 3, CASE WHEN config % 3 > 0 THEN coalesce(pooled >= 0 AND train_pf >= 1e-9 AND pooled / train_pf >= 0.7, false) END, CASE WHEN config % 4 > 0 THEN coalesce(h1n >= 15 AND h2n >= 15 AND h1 >= 1.0 AND h2 >= 1.0, false) END,
+ {" AND ".join(f"coalesce(j{k}::DOUBLE / nullif(nc, 0) >= 0.5 AND s{k} AND p{k} >= pooled * 0.9, false)" for k in _RESEEDS)}] AS c FROM a)
+SELECT config, array_to_string(list_transform(c, lambda x: CASE WHEN x THEN 'T' WHEN NOT x THEN 'F' ELSE '?' END), '') AS clauses, CASE WHEN list_contains(c, false) THEN 'FAILED' WHEN len(list_filter(c, lambda x: x IS NULL)) > 0 THEN 'CANDIDATE' ELSE 'CERTIFIED' END AS verdict FROM c""")
 def five_clause(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of configs. Every third lacks the pooled fields and every fourth the halves; two reseeds of each carrier are held against it."""
     from marlstone.functions.semantics import profit_factor
+    from marlstone.operators.placing import placed
 
     config = (F.col("l_partkey") % 100).alias("config")
     last = F.col("win_id") == 4
-    q = _masked(spark, d).select(config, "win_id", "train", "profit", "entry_ts", "key", "l_extendedprice")
-    q = q.withColumn("r", F.row_number().over(Window.partitionBy("config", last).orderBy("entry_ts", "key", "l_extendedprice"))).withColumn("n4", F.count_if(last).over(Window.partitionBy("config")))
-    first = last & (F.col("r") <= F.floor(F.col("n4") / 2))
-    second = last & (F.col("r") > F.floor(F.col("n4") / 2))
+    q = _masked(spark, d).select(config, "win_id", "train", "profit", "entry_ts", "key", "l_extendedprice", F.col("l_quantity").alias("qty"))
+    halves = placed(q.where(last), ["config"], ["entry_ts", "key", "l_extendedprice"])
+    early = F.col("place") < F.floor(F.col("n") / 2)
     null = F.lit(None).cast("double")
     pf = lambda where: profit_factor(F.when(where, F.col("profit")), null)
+    halves = halves.groupBy("config").agg(F.count_if(early).alias("half1_n"), F.count_if(~early).alias("half2_n"), pf(early).alias("half1_pf"), pf(~early).alias("half2_pf"))
     good = sum((F.coalesce(pf(F.col("win_id") == i) >= 1.0, F.lit(False)).cast("int") for i in range(1, 5)), F.lit(0))
-    a = q.groupBy("config").agg(F.count_if(last).alias("last_n"), pf(last).alias("last_pf"), good.alias("good_windows"), pf(F.col("win_id") >= 2).alias("pooled_pf"), pf(F.col("train")).alias("train_pf"), F.count_if(first).alias("half1_n"), F.count_if(second).alias("half2_n"), pf(first).alias("half1_pf"), pf(second).alias("half2_pf"))
-    a = a.withColumn("reseeds_good", F.when(F.col("config") % 3 != 0, F.col("config") % 5 > 0))
-    return a.select("config", gates.verdict(gates.five_clauses({c: F.col(c) for c in a.columns})).alias("verdict"))
+    held = F.col("win_id") >= 2
+    again = [F.struct((F.count_if(F.col("qty") > t) / F.nullif(F.count_if(F.col("qty") > 10), F.lit(0))).alias("jaccard"), F.coalesce(pf(F.col("train") & (F.col("qty") > t)) >= 0.4, F.lit(False)).alias("selected"), pf(held & (F.col("qty") > t)).alias("pooled")) for t in _RESEEDS.values()]
+    a = q.groupBy("config").agg(F.count_if(last).alias("last_n"), pf(last).alias("last_pf"), good.alias("good_windows"), pf(held).alias("pooled_pf"), pf(F.col("train")).alias("train_pf"), F.array(*again).alias("reseeds"))
+    a = a.join(halves, "config", "left").withColumns({"half1_n": F.coalesce("half1_n", F.lit(0)), "half2_n": F.coalesce("half2_n", F.lit(0)), "has_pool": F.col("config") % 3 > 0, "has_halves": F.col("config") % 4 > 0, "s0": F.col("pooled_pf") * 0.9})
+    clauses = gates.five_clauses({c: F.col(c) for c in a.columns})
+    text = F.concat(*[F.when(c, "T").when(~c, "F").otherwise("?") for c in clauses])
+    return a.select("config", text.alias("clauses"), gates.verdict(clauses).alias("verdict"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalar
 from marlstone.functions.semantics import profit_factor
 from marlstone.operators import eventlog, gates, masking, ranking
+from marlstone.operators.placing import placed
 from marlstone.plans.registry import LOG, POP, TWINS, _log, _masked, _pf, _twins, query, rounded
 from marlstone.sources import tables
 
@@ -121,16 +122,28 @@ def content_addressed(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "documents").select("doc_id", sha.alias("sha256"), F.concat_ws("/", F.substring(sha, 1, 2), sha).alias("path"))
 
 
-@query("SELECT lineage, first_bad, n::BIGINT AS n FROM (SELECT user_id AS lineage, min(event_id) FILTER (WHERE event_id % 101 = 0) AS first_bad, count(*) AS n FROM events GROUP BY user_id)")
-def hash_verify(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of links by SQL functions, broken on purpose at every 101st event: the first bad link of each log."""
-    w = Window.partitionBy("lineage").orderBy("seq")
-    link = F.sha2(F.col("seq").cast("string").cast("binary"), 256)
-    log = tables.table(spark, d, "events").select(F.col("user_id").alias("lineage"), F.col("event_id").alias("seq")).withColumn("h", link)
-    log = log.withColumn("prev", F.when(F.col("seq") % 101 == 0, F.lit("broken")).otherwise(F.coalesce(F.lag("h").over(w), F.lit("genesis"))))
-    bad = F.col("prev") != F.coalesce(F.lag("h").over(w), F.lit("genesis"))
-    return log.withColumn("bad", bad).groupBy("lineage").agg(F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"), F.count(F.lit(1)).alias("n"))
+# A log of canonical lines whose every 101st event is altered after it was hashed and every 173rd carries a false link.
+def _body(head: str, of: str = "") -> str:
+    return f"""'{{"payload":{{"v":' || {of}event_id || '}},"prev_hash":"' || {head} || '","seq":' || {of}i || '}}'"""
+
 
+@query(f"""WITH RECURSIVE n AS (SELECT user_id AS lineage, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+f AS (SELECT lineage, event_id, i, sha256({_body("repeat('0', 64)")}) AS h FROM n WHERE i = 0
+UNION ALL SELECT n.lineage, n.event_id, n.i, sha256({_body("f.h", "n.")}) FROM f JOIN n ON n.lineage = f.lineage AND n.i = f.i + 1)
+SELECT lineage, count(*)::BIGINT AS n, min(i) FILTER (WHERE event_id % 101 = 0 OR event_id % 173 = 0) AS first_bad_seq, arg_max(h, i) AS head FROM f GROUP BY lineage""")
+def hash_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Chains are made by SQL functions and walked by the verifier, which hashes every line anew."""
+    rows = tables.table(spark, d, "events").groupBy(F.col("user_id").alias("lineage")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))  # a log's own events
+    line = lambda prev, i, v: F.concat(F.lit('{"payload":{"v":'), v, F.lit('},"prev_hash":"'), prev, F.lit('","seq":'), i.cast("string"), F.lit("}"))
+    step = lambda s, i: F.struct(s["h"].alias("prev"), F.sha2(line(s["h"], i, F.get("ids", i.cast("int")).cast("string")).cast("binary"), 256).alias("h"))
+    chain = F.aggregate(F.sequence(F.lit(0).cast("long"), F.size("ids") - 1), F.array(F.struct(F.lit("").alias("prev"), F.lit(eventlog.GENESIS).alias("h"))), lambda a, i: F.concat(a, F.array(step(F.element_at(a, -1), i))))
+    flat = rows.select("lineage", F.posexplode(F.arrays_zip("ids", F.slice(chain, F.lit(2), F.size("ids")).alias("links"))).alias("line_no", "x")).select("lineage", F.col("line_no").cast("long").alias("line_no"), F.col("x.ids").alias("id"), "x.links.prev", "x.links.h")
+    told = F.when(F.col("id") % 173 == 0, F.lit("false")).otherwise(F.col("prev"))
+    value = F.when(F.col("id") % 101 == 0, F.concat(F.lit("1"), F.col("id").cast("string"))).otherwise(F.col("id").cast("string"))
+    raw = F.concat(F.lit('{"event_hash":"'), "h", F.lit('",'), F.substring(line(told, F.col("line_no"), value), 2, 10_000))
+    got = eventlog.verify(flat.select(F.col("lineage").alias("log"), "line_no", raw.alias("raw")))
+    heads = flat.groupBy("lineage").agg(F.max_by("h", "line_no").alias("head"))
+    return got.join(heads, F.col("log") == F.col("lineage")).select("lineage", "n", "first_bad_seq", "head")
 
 
 ORDERED = f"WITH RECURSIVE {LOG[5:]}, n AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY seq) AS i FROM log WHERE type IN ('register', 'request', 'void')), "
@@ -161,17 +174,13 @@ def deduplicated_spends(spark: SparkSession, d: str) -> DataFrame:
 SELECT component, round(sum(profit) FILTER (WHERE train), 2) AS score, round(sum(leak) FILTER (WHERE train), 2) AS leaked, abs(sum(profit) FILTER (WHERE train) - sum(leak) FILTER (WHERE train)) > 1e-6 AS changed FROM l GROUP BY component""")
 def mutation_audit(spark: SparkSession, d: str) -> DataFrame:
     """A planted one-row leak must change the score."""
-    w = Window.partitionBy("component").orderBy("entry_ts", "key", "l_extendedprice")
-    rows = _masked(spark, d).withColumn("leak", F.lead("profit").over(w)).where("train")
-    s, k = F.sum("profit"), F.sum("leak")
-    return rows.groupBy("component").agg(F.round(s, 2).alias("score"), F.round(k, 2).alias("leaked"), (F.abs(s - k) > 1e-6).alias("changed"))
+    return gates.mutation_audit(_masked(spark, d), ["component"], ["entry_ts", "key", "l_extendedprice"], "profit", F.col("train"), F.sum, 1e-6)
 
 
 @query(POP + f""", q AS (SELECT side, profit, row_number() OVER (PARTITION BY side ORDER BY entry_ts, key, l_extendedprice) AS r, count(*) OVER (PARTITION BY side) AS n FROM masked WHERE win_id = 4)
 SELECT side, count(*) FILTER (WHERE r <= n // 2)::BIGINT AS n1, count(*) FILTER (WHERE r > n // 2)::BIGINT AS n2, round({_pf('r <= n // 2')}, 6) AS pf1, round({_pf('r > n // 2')}, 6) AS pf2 FROM q GROUP BY side""")
 def split_half(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("side").orderBy("entry_ts", "key", "l_extendedprice")
-    q = _masked(spark, d).where("win_id = 4").withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("side")))
+    q = placed(_masked(spark, d).where("win_id = 4").select("side", "profit", "entry_ts", "key", "l_extendedprice"), ["side"], ["entry_ts", "key", "l_extendedprice"]).withColumn("r", F.col("place") + 1)
     first = F.col("r") <= F.floor(F.col("n") / 2)
     pf = lambda c: profit_factor(F.when(c, F.col("profit")), F.lit(None).cast("double"))
     return rounded(q.groupBy("side").agg(F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), pf(first).alias("pf1"), pf(~first).alias("pf2")))

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BAR = "ts timestamp_ntz, open double, high double, low double, close double, volume double, quote_volume double, trades long, taker_buy_base double, taker_buy_quote double"
@@ -94,25 +94,29 @@ def json_doc(spark: SparkSession, path: str) -> DataFrame:
 def sectioned_text(spark: SparkSession, path: str, sections=("BUY", "SELL", "Perceptron"), encoding: str = "UTF-16") -> DataFrame:
     """Rows of seven fields under [section] headings: section, pos, cluster and six features. Other rows are left out."""
     body = F.decode("content", encoding)
-    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
+    lines = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
     heads = lines.withColumn("head", F.nullif(F.regexp_extract("line", r"^\s*\[(\w+)\]\s*$", 1), F.lit("")))
-    # Files are small documents; a window over one file's lines is one task for each file.
-    from pyspark.sql import Window
-
-    named = heads.withColumn("section", F.last("head", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("line_no"))).where(F.col("head").isNull() & F.col("section").isin(*sections))
+    # A file is a small document; a window over one file's lines is one task for each file.
+    one = Window.partitionBy("file").orderBy("line_no")
+    named = heads.withColumn("section", F.last("head", ignorenulls=True).over(one)).where(F.col("head").isNull() & F.col("section").isin(*sections))
     f = F.split(F.trim("line"), r"\s*,\s*")
     rows = named.withColumn("f", f).where(F.size("f") == 7)
     names = ["hour", "ema", "mom", "dv", "iv", "hurst"]
-    pos = F.row_number().over(Window.partitionBy("section").orderBy("line_no")) - 1
-    return rows.select("section", pos.alias("pos"), F.col("f")[0].cast("long").alias("cluster"), *[F.col("f")[i + 1].cast("double").alias(n) for i, n in enumerate(names)])
+    pos = F.row_number().over(Window.partitionBy("file", "section").orderBy("line_no")) - 1
+    return rows.select("file", "section", pos.alias("pos"), F.col("f")[0].cast("double").cast("long").alias("cluster"), *[F.col("f")[i + 1].cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def deals_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Positional deals: ts, deal, side, direction, volume, price, profit (missing: 0, with ``coerced``), comment."""
-    raw = spark.read.csv(path, schema=", ".join(f"c{i} string" for i in range(13)))
-    profit = F.col("c10").try_cast("double")
-    bad = profit.isNull() | F.isnan(profit)
-    return raw.select(F.to_timestamp_ntz("c0", F.lit("yyyy.MM.dd HH:mm:ss")).alias("ts"), F.col("c1").cast("long").alias("deal"), F.lower(F.trim("c2")).alias("side"), F.lower(F.trim("c3")).alias("direction"), F.col("c5").cast("double").alias("volume"), F.col("c6").cast("double").alias("price"), F.when(bad, 0.0).otherwise(profit).alias("profit"), bad.alias("coerced"), F.col("c12").alias("comment"))
+    """Positional deals: ts, deal, side, direction, volume, price, profit (of outs; missing: 0, with ``coerced``), comment.
+
+    Columns are 0 time, 1 deal, 3 side, 4 in or out, 5 volume, 6 price, 10 profit, 12 comment. Rows of fewer than seven fields and such that don't begin with two digits, as headers, are left out.
+    """
+    raw = spark.read.csv(path, schema=", ".join(f"c{i} string" for i in range(13)), enforceSchema=True)
+    raw = raw.where(F.col("c0").rlike(r"^\d\d") & F.col("c6").isNotNull() | F.col("c0").rlike(r"^\d\d") & F.coalesce(*[F.col(f"c{i}") for i in range(7, 13)]).isNotNull())
+    is_in = F.lower(F.trim("c4")) == "in"
+    bad = F.coalesce(F.trim("c10"), F.lit("")).isin("", "nan", "NaN")
+    profit = F.when(~is_in, F.when(bad, 0.0).otherwise(F.trim("c10").cast("double")))
+    return raw.select(F.to_timestamp_ntz(F.trim("c0"), F.lit("yyyy.MM.dd HH:mm:ss")).alias("ts"), F.col("c1").cast("long").alias("deal"), F.lower(F.trim("c3")).alias("side"), F.when(is_in, "in").otherwise("out").alias("direction"), F.col("c5").cast("double").alias("volume"), F.col("c6").cast("double").alias("price"), profit.alias("profit"), (~is_in & bad).alias("coerced"), F.when(~is_in, F.coalesce(F.trim("c12"), F.lit(""))).alias("comment"))
 
 
 def vectors(pop: DataFrame, side: str, seats: list[str]) -> DataFrame:

@@ -36,9 +36,12 @@ def test_legacy_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("[BUY]\r\n1,2,3,4,5,6,7\r\nx\r\n2,2,3,4,5,6,7\r\n[SELL]\r\n3,2,3,4,5,6,7\r\n", encoding="utf-16")
     got = readers.sectioned_text(spark, str(tmp_path / "c.txt")).orderBy("section", "pos").collect()
     assert [(r.section, r.pos, r.cluster) for r in got] == [("BUY", 0, 1), ("BUY", 1, 2), ("SELL", 0, 3)]
-    (tmp_path / "d.csv").write_text("2024.01.02 03:04:05,7,buy,in,0,1,2,0,0,0,nan,0,c\n2024.01.02 03:04:06,8,sell,out,0,1,2,0,0,0,3.5,0,c\n")
+    (tmp_path / "two.txt").write_text("[BUY]\r\n1,2,3,4,5,6,7\r\n", encoding="utf-16")
+    both = readers.sectioned_text(spark, str(tmp_path / "*.txt")).groupBy("file", "section").count().collect()
+    assert sorted((r.file.rsplit("/")[-1], r.section, r["count"]) for r in both) == [("c.txt", "BUY", 2), ("c.txt", "SELL", 1), ("two.txt", "BUY", 1)]
+    (tmp_path / "d.csv").write_text("Time,Deal,Symbol,Type,Direction,Volume,Price,a,b,c,Profit,d,Comment\n2024.01.02 03:04:04,6,BTC,buy,in,0.1,42,x\n2024.01.02 03:04:05,7,BTC,buy,in,0.1,42.5,0,0,0,,0,\n2024.01.02 03:04:06,8,BTC,Sell,out,0.1,43,0,0,0,nan,0,tp 1\n2024.01.02 03:04:07,9,BTC,sell,out,0.1,44,0,0,0,3.5,0,\nshort,row\n2024.01.02,5\n")
     got = readers.deals_csv(spark, str(tmp_path / "d.csv")).orderBy("deal").collect()
-    assert [(r.profit, r.coerced) for r in got] == [(0.0, True), (3.5, False)]
+    assert [(r.deal, r.side, r.direction, r.price, r.profit, r.coerced, r.comment) for r in got] == [(6, "buy", "in", 42.0, None, False, None), (7, "buy", "in", 42.5, None, False, None), (8, "sell", "out", 43.0, 0.0, True, "tp 1"), (9, "sell", "out", 44.0, 3.5, False, "")]
 
 
 def test_event_log_and_render(spark, tmp_path):

@@ -1,6 +1,8 @@
 """Edge cases of conventions, masks, promotion, folds and gates."""
 
 import datetime as dt
+import hashlib
+import json
 import math
 
 import numpy as np
@@ -97,17 +99,19 @@ def test_hazen_quantiles(spark):
 
 
 def test_chain_verification(spark):
-    rows, prev = [], eventlog.GENESIS
-    for i in range(6):
-        body = f'{{"b": {i}, "a": "é"}}'
-        rows.append(("x", i, prev, eventlog.event_hash(prev, body), body))
-        prev = rows[-1][3]
-    schema = "log string, seq long, prev_hash string, event_hash string, body string"
-    run = lambda r: tuple(eventlog.verify(spark.createDataFrame(r, schema)).select("n", "first_bad_seq", "torn_tail").first())
-    assert run(rows) == (6, None, False)
-    assert run(rows[:3] + [(*rows[3][:4], '{"b": 4}')] + rows[4:]) == (6, 3, False)
-    assert run(rows[:2] + rows[3:]) == (5, 3, False)
-    assert run(rows[:5] + [(*rows[5][:4], '{"b": 5, "a')]) == (6, None, True)
+    drafts = spark.createDataFrame([(i, f"e{i}", "note.record", '{"title": "é", "n": %d}' % i, "[]") for i in range(6)], "_order long, event_id string, type string, payload string, cites string")
+    lines = [r.line for r in eventlog.chain(drafts, 0, eventlog.GENESIS, ["event_id", "type", "payload", "cites"]).collect()]
+    first = json.loads(lines[0])
+    told = first.pop("event_hash")
+    plain = json.dumps(first, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    assert first["prev_hash"] == "0" * 64 and told == hashlib.sha256(plain).hexdigest()
+    schema = "log string, line_no long, raw string"
+    run = lambda r: tuple(eventlog.verify(spark.createDataFrame([("x", i, x) for i, x in enumerate(r)], schema)).select("n", "first_bad_seq", "torn_tail").first())
+    assert run(lines) == (6, None, False)
+    assert run(lines[:3] + [lines[3].replace('"n":3', '"n":4')] + lines[4:]) == (6, 3, False)
+    assert run(lines[:2] + lines[3:]) == (5, 2, False)
+    assert run(lines[:5] + [lines[5][:40]]) == (5, None, True)
+    assert run(lines[:2] + [lines[2][:40]] + lines[3:])[1:] == (2, False)
 
 
 def test_digest_does_not_depend_on_order(spark):
@@ -124,8 +128,14 @@ def test_predicates(spark):
     assert predicates.PREDICATES["cert_gate_green"].version == "1"
     with pytest.raises(ValueError):
         predicates.predicate("cert_gate_green", "1")(lambda: F.lit(True))
-    df = spark.createDataFrame([({k: "pass" for k in "abcde"},), ({k: "pass" for k in "abcd"},), ({**{k: "pass" for k in "abcd"}, "e": "fail"},)], "clauses map<string,string>")
-    assert [r[0] for r in df.select(predicates.cert_gate_green()).collect()] == [True, False, False]
+    full = dict.fromkeys(predicates.CLAUSES, "measured_pass")
+    df = spark.createDataFrame([({**full, "persistence": "pre_authorized", "other": "x"},), ({k: v for k, v in full.items() if k != "degradation"},), ({**full, "degradation": "measured_fail"},), (dict.fromkeys(predicates.CLAUSES, "pass"),)], "clauses map<string,string>")
+    assert [r[0] for r in df.select(predicates.cert_gate_green()).collect()] == [True, False, False, False]
+    stamps = spark.createDataFrame([([("parity", True)], [("counts", True)]), ([("verified", True)], [("verified", True)]), ([("g2", True)], [("alignment", True)]), ([("parity", False)], [("counts", True)]), (None, [("counts", True)])], "g2 array<struct<kind:string,passed:boolean>>, alignment array<struct<kind:string,passed:boolean>>")
+    assert [r[0] for r in stamps.select(predicates.g2_and_alignment_green()).collect()] == [True, True, False, False, False]
+    mark = lambda c, v=False: (c, v)
+    marks = spark.createDataFrame([([mark("L2")] + [mark("none")] * 20, False), ([mark("L1")] * 2 + [mark("none")] * 3, False), ([mark("L1")] * 3, False), ([mark("L1")] * 3 + [mark("none")] * 10, False), ([mark("L1"), mark("L1"), mark("L1", True)], False), ([], True)], "marks array<struct<class:string,voided:boolean>>, flagged boolean")
+    assert [r[0] for r in marks.select(predicates.extended_suspend_alarm()).collect()] == [True, False, True, False, False, True]
     e = spark.createDataFrame([([(0.2, 0.0)] * 3 + [(0.0, 1.0)],), ([(0.2, 1.0)] * 3,), ([(0.2, -1.0)] + [(0.2, 1.0)] * 3,)], "epochs array<struct<spearman:double,yield:double>>")
     assert [r[0] for r in e.select(predicates.shadow_qualification()).collect()] == [True, False, False]
 
@@ -145,3 +155,43 @@ def test_robust_scaling(spark):
     fit = gates.robust_fit(train, ["g"], "x")
     got = {r.x: r.scaled for r in gates.robust_apply(spark.createDataFrame([("g", None), ("g", 1e9)], "g string, x double"), fit, ["g"], "x").collect()}
     assert got[None] == 0.0 and got[1e9] == pytest.approx((100 - 3) / (28.0 - 1.75)) and math.isclose(fit.where("g = 'h'").first().iqr, 1.0)
+
+
+def test_five_clauses_fail_closed(spark):
+    """A missing number fails its clause; only missing fields leave the third and fourth open."""
+    ddl = "last_n int, last_pf double, good_windows int, pooled_pf double, train_pf double, half1_n int, half2_n int, half1_pf double, half2_pf double, has_pool boolean, has_halves boolean, reseeds array<struct<jaccard:double,selected:boolean,pooled:double>>, s0 double"
+    ok = (30, 1.3, 3, 0.7, 1.0, 15, 15, 1.0, 1.0, True, True, [(0.5, True, 1.0)], 1.0)
+    put = lambda **kw: tuple(kw.get(n.split()[0], v) for n, v in zip(ddl.split(", "), ok))
+    cases = {"TTTTT": put(), "FTTTT": put(last_pf=None), "TFTTT": put(good_windows=2), "TTFTT": put(train_pf=None), "TT?TT": put(has_pool=False, pooled_pf=None), "TTTFT": put(half1_pf=None), "TTT?T": put(has_halves=False), "TTTTF": put(s0=None)}
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()] + [("TTTTT", *put(reseeds=[], s0=None)), ("TTTTF", *put(reseeds=[(0.4, True, 2.0)])), ("TTTTF", *put(reseeds=[(0.9, None, 2.0)]))], "want string, " + ddl)
+    text = F.concat(*[F.when(c, "T").when(~c, "F").otherwise("?") for c in gates.five_clauses({c: F.col(c) for c in df.columns})])
+    assert all(r.want == r.got for r in df.select("want", text.alias("got")).collect())
+
+
+def test_snapshot_digest(spark):
+    """Against the definition over one frame: scheme, count, each column's name and bytes in order of ts, range."""
+    rng = np.random.default_rng(1)
+    n = 500
+    pdf = pd.DataFrame({c: (rng.integers(0, 99, n) if k == "<i8" else rng.normal(size=n)) for c, k in scalar.SNAPSHOT.items()})
+    pdf["ts"] = pd.date_range("2024-01-01", periods=n, freq="1min")
+    h = hashlib.sha256(b"snap_digest_v1" + b"n=500")
+    for c, k in scalar.SNAPSHOT.items():
+        h.update(c.encode() + pdf[c].to_numpy().astype(k).tobytes())
+    h.update(b"2024-01-01 00:00:00|2024-01-01 08:19:00")
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=2)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert scalar.snapshot_digest(df.repartition(5)) == (h.hexdigest(), n, ("2024-01-01 00:00:00", "2024-01-01 08:19:00"))
+
+
+def test_places_against_windows(spark):
+    from pyspark.sql import Window
+
+    from marlstone.operators import placing
+
+    rows = spark.range(2000).select((F.col("id") % 7 * F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") * 37 % 1999).alias("o"), "id")
+    w = Window.partitionBy("g").orderBy("o", "id")
+    want = {tuple(r) for r in rows.select("g", "id", (F.row_number().over(w) - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n")).collect()}
+    assert {(r.g, r.id, r.place, r.n) for r in placing.placed(rows, ["g"], ["o", "id"]).collect()} == want
+    vals = sorted(r.o for r in rows.where("o IS NOT NULL").collect())
+    got = placing.points(rows, [], "o", [0.5, 0.01, 1.0]).first()
+    at = len(vals) * 0.01 + 0.5
+    assert got.n == len(vals) and got.q2 == vals[-1] and math.isclose(got.q1, vals[int(at) - 1] + (vals[int(at)] - vals[int(at) - 1]) * (at - int(at)))
