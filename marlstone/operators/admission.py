@@ -327,23 +327,29 @@ def fires(drafts: DataFrame, state: P.State) -> DataFrame:
     return first.groupBy("event_id").agg(F.min_by(F.struct("fired", "_f"), "_i").alias("_m")).select("event_id", "_m.fired", F.col("_m._f").alias("_f"))
 
 
-def decide(drafts: DataFrame, state: P.State) -> DataFrame:
+def decide(drafts: DataFrame, state: P.State, kinds: set[str] | None = None, scheduled: bool = True) -> DataFrame:
     """ADM-1: (event_id, accepted, noop, code, detail, fired) of drafts (event_id, type, actor, provenance, hypothesis, reasoning,
     expected_outcome, cites, payload, imported, ts).
 
-    A draft whose event_id the log holds, or that a draft before it in the batch (by ``ts``, then row) has, is accepted without effect.
+    A draft whose event_id the log holds is accepted without effect. ``kinds`` are the types that occur, where the caller knows them, and ``scheduled`` whether any draft
+    is the scheduler's: what needn't be asked isn't joined.
     """
     d = drafts.withColumn("_v", payloads.validate(F.col("type"), F.col("payload"))).withColumns({"_who": actor_class(F.col("actor")), "_sha": F.col("_v.sha256"), "_error": F.col("_v.error"), "payload": F.coalesce("_v.payload", "payload"), "imported": F.coalesce("imported", F.lit(False))})
     good = d.where("_error IS NULL AND _who IS NOT NULL")
-    found = reduce(DataFrame.unionByName, [HANDLERS[k](good, state).withColumnRenamed("code", "_hc").withColumnRenamed("detail", "_hd") for k in sorted(HANDLERS)]).dropDuplicates(["event_id"])
-    out = d.join(fires(good, state), "event_id", "left").join(found, "event_id", "left").join(state.seen().distinct().withColumn("_seen", F.lit(True)), "event_id", "left")
+    none = F.lit(None).cast("string")
+    asked = [HANDLERS[k](good, state) for k in sorted(HANDLERS) if kinds is None or k in kinds]
+    out = d.withColumns({"_hc": none, "_hd": none})
+    if asked:
+        found = reduce(DataFrame.unionByName, asked).groupBy("event_id").agg(F.min("code").alias("_hc"), F.min("detail").alias("_hd"))
+        out = d.join(found, "event_id", "left")
+    out = out.join(fires(good, state), "event_id", "left") if scheduled else out.withColumns({"fired": none, "_f": F.lit(None).cast("struct<code:string,detail:string>")})
+    out = out.join(state.seen().distinct().withColumn("_seen", F.lit(True)), "event_id", "left")
     out = out.join(F.broadcast(state.open_cycle), how="left")  # one row
     over = state.held.get("allowlist")
     override = F.lit(None).cast("map<string,array<string>>")
     if over is not None:  # a row for each class of actors, five at most
         out = out.join(F.broadcast(over.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("actor", "types"))).alias("_over"))), how="left")
         override = F.col("_over")
-    none = F.lit(None).cast("string")
     fired = F.col("fired").isNotNull() & F.col("_f").isNull()
     who, kind = F.col("_who"), F.col("type")
     open_ = F.col("open_cycle").isNotNull() & (F.col("provenance") == "discretionary") & ~fired & ~((who == "human") & kind.isin(*APPARATUS))

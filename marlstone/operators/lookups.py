@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.scratch import Scratch
+
 NEIGHBOUR_BYTES = 64 << 20  # what may be sent to all tasks
 
 
@@ -42,20 +44,67 @@ def missing(rows: DataFrame, keys: DataFrame, col: str, key: str) -> DataFrame:
 def nearest(rows: DataFrame, train: DataFrame, k: int, weight: list[float] | None = None) -> DataFrame:
     """(id, label): the most frequent label among the k nearest training rows, by weighted squared distance; ties by least id, then least label.
 
-    The training side must be small: it is measured and sent to all tasks as one array, and each row ranks it by itself, so
-    no pair leaves a task. A larger one is refused.
+    ``rows`` are a query set that is held against all training rows, in blocks: training rows are dealt by hash into blocks of ``NEIGHBOUR_BYTES`` at most on average,
+    a block is sent to all tasks as one array, and each row keeps its k best so far. No pair leaves a task.
     """
     w = F.array(*map(F.lit, weight)) if weight else None
     scaled = lambda v: F.zip_with(v, w, lambda x, y: x * y) if weight else v
     size = train.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
-    if size > NEIGHBOUR_BYTES:
-        raise ValueError(f"training rows take {size} bytes; the bound is {NEIGHBOUR_BYTES}")
-    held = F.broadcast(train.agg(F.collect_list(F.struct("id", "label", scaled(F.col("v")).alias("v"))).alias("_t")))
+    blocks = max(1, -(-size // NEIGHBOUR_BYTES))
 
     def dist(t) -> Column:
         return F.aggregate(F.zip_with("_v", t["v"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
-    near = F.slice(F.sort_array(F.transform("_t", lambda t: F.struct(F.round(dist(t), 9).alias("d"), t["id"].alias("id"), t["label"].alias("label")))), 1, k)
-    rows = rows.select("id", scaled(F.col("v")).alias("_v")).join(held).select("id", F.transform(near, lambda t: t["label"]).alias("near"))
+    run = Scratch(rows.sparkSession, "nearest")
+    label = train.schema["label"].dataType.simpleString()
+    best = rows.select("id", scaled(F.col("v")).alias("_v"), F.array().cast(f"array<struct<d:double,id:bigint,label:{label}>>").alias("_best"))
+    for i in range(blocks):
+        block = train if blocks == 1 else train.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+        held = F.broadcast(block.agg(F.collect_list(F.struct("id", "label", scaled(F.col("v")).alias("v"))).alias("_t")))  # one row
+        near = F.transform("_t", lambda t: F.struct(F.round(dist(t), 9).alias("d"), t["id"].cast("bigint").alias("id"), t["label"].alias("label")))
+        best = best.join(held).select("id", "_v", F.slice(F.sort_array(F.concat("_best", near)), 1, k).alias("_best"))
+        if i + 1 < blocks:
+            best = run.table(f"best-{i}", best)
+    near = best.select("id", F.transform("_best", lambda t: t["label"]).alias("near"))
     votes = F.transform(F.array_distinct("near"), lambda x: F.struct(F.size(F.filter("near", lambda y: y == x)).alias("n"), (-x).alias("m")))
-    return rows.select("id", (-F.array_max(votes)["m"]).alias("label"))
+    return near.select("id", (-F.array_max(votes)["m"]).alias("label"))
+
+
+def attach(rows: DataFrame, at: str, features: DataFrame, ts: str) -> DataFrame:
+    """Rows with the features of their time's text, or else of its first 19 characters; without either, nulls. Times of features must be unique."""
+    names = [c for c in features.columns if c != ts]
+    whole = features.select(F.col(ts).alias("_t1"), F.struct(*names).alias("_f1"))
+    short = features.select(F.col(ts).alias("_t2"), F.struct(*names).alias("_f2"))
+    out = rows.join(whole, F.col(at) == F.col("_t1"), "left").join(short, F.substring(at, 1, 19) == F.col("_t2"), "left")
+    hit = F.coalesce("_f1", "_f2")
+    return out.select(*rows.columns, *[hit[n].alias(f"fc_{n}") for n in names])
+
+
+def greedy_pairs(ins: DataFrame, outs: DataFrame, by: str, deal: str) -> DataFrame:
+    """Each in, in order of ``pos``, with the first unused out of a greater deal. An error where numbers of ins and outs differ, or an in finds none.
+
+    With one position at a time the k-th in meets the k-th out; others are passed over in order, a group at a time, as each choice depends on the one before.
+    """
+    n = ins.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).join(outs.groupBy(by).agg(F.count(F.lit(1)).alias("_m")), by, "full")
+    bad = n.where(~F.col("_n").eqNullSafe(F.col("_m"))).select(by, F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce("_m", F.lit(0)).alias("m")).first()
+    if bad:
+        raise ValueError(f"{bad[0]}: {bad.n} ins but {bad.m} outs; not one position at a time")
+
+    def pair(key, left, right):
+        import pandas as pd
+
+        free, out = iter(sorted(right["_deal"])), []
+        for pos, d in left.sort_values("pos")[["pos", deal]].itertuples(index=False):
+            hit = next((o for o in free if o > d), None)
+            if hit is None:
+                raise ValueError(f"{key[0]}: no out after deal {d}")
+            out.append((key[0], pos, d, hit))
+        return pd.DataFrame(out, columns=[by, "pos", "deal_in", "deal_out"])
+
+    kind = dict(ins.dtypes)[by]
+    return ins.select(by, "pos", deal).groupBy(by).cogroup(outs.select(F.col(by).alias("_by"), F.col(deal).alias("_deal")).groupBy("_by")).applyInPandas(pair, f"{by} {kind}, pos long, deal_in long, deal_out long")
+
+
+def spent_not_carried(old: DataFrame, spent: DataFrame, carried: DataFrame) -> DataFrame:
+    """Windows (set, wiv) of a set that are spent and not carried over."""
+    return old.join(spent.select("wiv").distinct(), "wiv", "left_semi").join(carried.select("set", "wiv").distinct(), ["set", "wiv"], "left_anti")

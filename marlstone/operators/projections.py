@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import canonical, canonical_sha256
 from marlstone.operators.eventlog import first_of_each
+from marlstone.scratch import Scratch
 
 WINDOWS = "array<struct<wiv_id:string,data_contract:string,start:string,end:string,role:string>>"
 ENTRIES = "array<struct<key:string,value:string,finality:string,unknown:boolean>>"
@@ -133,15 +134,19 @@ def scorecards(log: DataFrame) -> DataFrame:
 def windowsets(log: DataFrame) -> DataFrame:
     """Windowsets with the lineage that they pass on to their successors, and whether they are live.
 
-    Lineages go along chains of supersessions; these are short, and resolved by pointer jumping, a round for each doubling.
+    Lineages go along chains of supersessions, by pointer jumping: a written table for each doubling of the longest chain, none where nothing was superseded.
     """
     reg = parsed(log, "windowset.register", f"windowset_id string, lineage_id string, windows {WINDOWS}, status string").select("seq", "windowset_id", F.coalesce(F.when(F.col("lineage_id") != "", F.col("lineage_id")), F.concat(F.lit("lin::"), "windowset_id")).alias("lineage_id"), "windows", "status", F.lit(None).cast("string").alias("old"))
     sup = parsed(log, "windowset.supersede", f"old_windowset_id string, new_windowset struct<windowset_id:string,windows:{WINDOWS},status:string>")
     rows = reg.unionByName(sup.select("seq", F.col("new_windowset.windowset_id").alias("windowset_id"), F.lit(None).cast("string").alias("lineage_id"), "new_windowset.windows", "new_windowset.status", F.col("old_windowset_id").alias("old")))
     one = last_by(rows, "windowset_id", "lineage_id", "windows", "status", "old")
-    for _ in range(6):  # chains of up to 2 ** 6 supersessions
+    run, step = Scratch(log.sparkSession, "windowsets"), 0
+    one = run.table("0", one)
+    while one.where("old IS NOT NULL AND lineage_id IS NULL").limit(1).count():
+        step += 1
         up = one.select(F.col("windowset_id").alias("_o"), F.col("lineage_id").alias("_l"), F.col("old").alias("_oo"))
         one = one.join(up, F.col("old") == F.col("_o"), "left").select("windowset_id", "seq", F.coalesce("lineage_id", "_l").alias("lineage_id"), "windows", "status", F.when(F.coalesce("lineage_id", "_l").isNull(), F.when(F.col("_o").isNotNull(), F.col("_oo"))).alias("old"))
+        one = run.table(str(step), one)
     over = sup.groupBy(F.col("old_windowset_id").alias("windowset_id")).agg(F.max_by("new_windowset.windowset_id", "seq").alias("superseded_by"), F.max("seq").alias("_s"))
     out = one.join(over, "windowset_id", "left")
     later = F.col("_s") > F.col("seq")
@@ -211,7 +216,7 @@ def lineage_events(log: DataFrame, sets: DataFrame) -> DataFrame:
     """The events of each lineage that its slots depend on: budgets, requests for a readout, voids of one, and registrations."""
     docs = constants_all(log).where("series = 'look_budget'")
     at = lambda k: F.get(F.filter("entries", lambda e: e["key"] == k), F.lit(0))["value"]
-    whole = lambda k, d: F.coalesce(at(k).cast("long"), F.lit(d).cast("long"))
+    whole = lambda k, d: F.coalesce(at(k).try_cast("long"), F.lit(d).cast("long"))
     none, text, keys = F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     budgets = docs.select("seq", at("lineage_id").alias("lineage"), F.lit("budget").alias("kind"), whole("generation", 1).alias("generation"), whole("initial_budget", 0).alias("initial"), whole("alarm_remaining", 0).alias("alarm_at"), whole("diagnostic_remaining", 0).alias("diagnostic_at"), text.alias("month"), text.alias("readout_id"), keys.alias("keys"), F.lit(False).alias("readout")).where("lineage <> ''")
     asked = lineage_of(parsed(log, "readout.request", "readout_id string, windowset_id string, scope_id string, purpose string"), sets).where("purpose = 'readout' OR purpose IS NULL")
@@ -235,7 +240,7 @@ def spends(log: DataFrame, sets: DataFrame) -> DataFrame:
     """Windows (wiv_id) that are spent: by a request since the last carry-over, or by what that carried over."""
     carried = parsed(log, "windowset.supersede", "carryover array<struct<wiv_id:string,spends:array<string>>>").select("seq", F.explode("carryover").alias("c")).where("c.spends IS NOT NULL").select("seq", "c.wiv_id", (F.size("c.spends") > 0).alias("spent"))
     asked = lineage_events(log, sets).where("kind = 'request'").select("seq", F.explode("keys").alias("_k")).select("seq", F.substring_index("_k", "::", 1).alias("wiv_id"), F.lit(True).alias("spent"))
-    both = carried.union(since(asked, carried, "wiv_id"))
+    both = carried.unionByName(since(asked, carried, "wiv_id"))
     return last_by(both, "wiv_id", "spent").where("spent").select("wiv_id")
 
 
@@ -389,7 +394,8 @@ class State:
     """The projections of a log by name, each made when it is first asked for; ``given`` ones take their place."""
 
     def __init__(self, log: DataFrame | None = None, **given: DataFrame):
-        self.log = first_of_each(log) if log is not None else None
+        # Written once, as every projection reads it.
+        self.log = Scratch(log.sparkSession, "log").table("log", first_of_each(log)) if log is not None else None
         self.held = dict(given)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -399,6 +405,8 @@ class State:
                 raise AttributeError(name)
             over_sets = name in ("lineages", "spends", "placebo_history")
             self.held[name] = make(self.log, self.windowsets) if over_sets else make(self.log)
+            if name == "lineages":  # a fold in Python; others are cheap to make anew
+                self.held[name] = Scratch(self.log.sparkSession, name).table(name, self.held[name])
         return self.held[name]
 
     def seen(self) -> DataFrame:
