@@ -143,7 +143,12 @@ def search(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THR
 def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
     """The same search for sets of items of any size: signatures (and, as class -1, all shingles for items of few) are joined on (class, hash), then texts on the pairs."""
     key, name = items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    lengths = [r[0] for r in items.select(F.least(F.size(F.expr(r"regexp_extract_all(text, '(?U)\\w+', 0)")), F.lit(n)).alias("k")).where("k > 0").distinct().collect()]
+
+    def count(batches):
+        for b in batches:
+            yield pd.DataFrame({"k": [min(len(words_of(t)), n) for t in b["text"]]})
+
+    lengths = [r[0] for r in items.select("text").mapInPandas(count, "k int").where("k > 0").distinct().collect()]  # n at most
     classes = range(0, 16)
 
     def of_docs(batches):
@@ -193,6 +198,12 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> Data
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no item."""
-    hit = search(docs, items, n, threshold).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    """The documents that hold no item. Columns stay.
+
+    Each row is judged by its own text: rows of one doc_id, or of none, with other texts don't share its fate; repeated rows do. A null text holds no item.
+    """
+    # Rows are told apart by id and text, both ways round, as one string that no other row has.
+    name = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), F.col("text"))))
+    rows = docs.withColumn("_row", name)
+    hit = search(rows.select(F.col("_row").alias("doc_id"), "text"), items, n, threshold).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(hit, "_row", "left_anti").select(*docs.columns)

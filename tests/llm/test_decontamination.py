@@ -60,3 +60,12 @@ def test_short_items_in_long_documents(spark, most):
     items = [(100 * n + k, " ".join(docs[k][1].split()[30 : 30 + n])) for n in (2, 4, 5, 6, 7) for k in range(100)]
     got = dc.search(spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame(items, ITEMS), most=most)
     assert rows(got) == {(i % 100, i, 1.0) for i, _ in items}
+
+
+def test_clean_judges_rows_by_their_text(spark):
+    item = "one two three four five six seven"
+    rows = [(None, f"x {item} y", 1), (None, "clean text", 2), (7, item, 3), (7, "other clean text", 4), (7, "other clean text", 5), (8, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = dc.clean(docs, items)
+    assert got.columns == docs.columns and sorted(r.item_id for r in got.collect()) == [2, 4, 5, 6]
