@@ -242,13 +242,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, hash, class_id and root (which names the class) of every row."""
+    """doc_id, hash, class_id, root (which names the class) and wordless (whether the text has no word) of every row."""
     spark = docs.sparkSession
     run = Scratch(spark, "near")
     docs = docs.select("doc_id", "text")
     weights = spark.sparkContext.broadcast(Weights(*document_frequencies(docs)))  # 256 kB
     sig = run.table("signatures", signatures(docs, weights))
-    nodes = run.table("nodes", sig.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))  # the row whose text stands for the node
+    nodes = run.table("nodes", sig.groupBy("node").agg(F.min("doc_id").alias("least"), one.alias("one"), F.any_value("bands").alias("bands")))
     rows = nodes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "value"))
     shared = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = run.table("met", rows.join(shared, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "node", "n"))
@@ -256,8 +257,9 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     ranked = met.select("bucket", "node").join(central, "node")
     star = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("b"))
     pairs = run.table("pairs", met.select("bucket", F.col("node").alias("a")).join(star, "bucket").where("a <> b").select("a", "b").distinct())
-    ids = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("_least"))
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_least"))).select("node", "text")
+    ids = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("one.doc_id").alias("_d"), F.col("one.hash").alias("_h"))
+    # By id and text: rows of a null or repeated id meet the nodes of their own text only.
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("node", "text")
     texts = run.table("texts", _of_node(texts).dropDuplicates(["node"]))
     links = run.table("links", verified(pairs, texts, weights, threshold))
     roots = components(links, run, "star")
@@ -275,7 +277,8 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         roots = components(links.union(more), run, "all")
     least = nodes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = run.table("classes", least.join(least.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id", "root"))
-    return sig.select("doc_id", "hash", "node").join(named, "node").select("doc_id", "hash", "class_id", "root")
+    wordless = F.col("node") == F.lit(bytes(key_of([])))
+    return sig.select("doc_id", "hash", "node").join(named, "node").select("doc_id", "hash", "class_id", "root", wordless.alias("wordless"))
 
 
 def _of_node(rows: DataFrame) -> DataFrame:
@@ -294,8 +297,9 @@ def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Wordless documents are no copies of each other and all stay.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    found = _classes(docs, threshold).groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.hash").alias("_h"))
-    worded = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
+    found = _classes(docs, threshold)
+    empty = found.where("wordless").select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).distinct()
+    found = found.where("NOT wordless").groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.hash").alias("_h"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.where(worded).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).unionByName(rows.where(~worded)).drop("_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
+    return rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).unionByName(rows.join(empty, same, "left_semi")).drop("_hash")
