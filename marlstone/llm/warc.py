@@ -163,7 +163,8 @@ def write(pages: DataFrame, path: str, roll: int = ROLL_BYTES, least: int = LEAS
     sort = [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest")]
     run_dir = Scratch(pages.sparkSession, "warc-plan")
     rows = sharded(run_dir.table("plan", plan(pages, least)), shard_bytes)
-    rows = rows.repartition(F.col("shard")).sortWithinPartitions("shard", *sort)
+    shards = rows.agg(F.max("shard")).first()[0]
+    rows = rows.repartition((shards or 0) + 1, F.col("shard")).sortWithinPartitions("shard", *sort)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(path)
@@ -240,7 +241,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name} isn't what the manifest lists")
                 yield _frame(rows)
 
-    files = listed.repartition(F.col("file"))
+    # A task for each file or so; the number is given, as else all of the small manifest would be read in one task.
+    files = listed.repartition(max(1, listed.count()), F.col("file"))
     return files.mapInPandas(run, RECORD)
 
 
