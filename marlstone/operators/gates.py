@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.semantics import profit_factor
@@ -92,3 +92,42 @@ def mutation_audit(rows: DataFrame, by: list[str], order: list[str], col: str, k
     leak = neighbour(placed(rows.select(*by, *order, col, keep.alias("_keep")), by, order), by, col, "_leak").where("_keep")
     s, k = score(F.col(col)), score(F.col("_leak"))
     return leak.groupBy(*by).agg(F.round(s, 2).alias("score"), F.round(k, 2).alias("leaked"), (F.abs(s - k) > least).alias("changed"))
+
+
+def arms(entries: DataFrame, run: str, key: str, bar: Column, most: int) -> DataFrame:
+    """(run, arm): a run's best ``most`` entries (z, ok) that beat the bar and can be selected; where there is none, its best entry of all."""
+    good = (F.col("z") > bar) & F.col("ok")
+    best = F.struct("z", -F.col(key))
+    w = Window.partitionBy(run).orderBy(F.col("z").desc(), key)
+    top = entries.where(good).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select(run, F.col(key).alias("arm"))
+    alone = entries.groupBy(run).agg(F.max_by(key, best).alias("arm"), F.count_if(good).alias("_n")).where("_n = 0").select(run, "arm")
+    return top.unionByName(alone)
+
+
+def r_multiples(trades: DataFrame, stop: float) -> DataFrame:
+    """Adds ``r``: (exit - entry) by side (1 or -1) over ``stop`` times the range at entry ``atr``; the median of finite positive ranges, or 1, stands in for a missing one. Without an exit r is 0."""
+    from marlstone.operators.placing import points
+
+    good = F.when((F.col("atr") > 0) & ~F.isnan("atr"), F.col("atr"))
+    # The median by plotting positions is the usual one: the middle value, or the mean of the two.
+    med = points(trades.select(good.alias("_a")), [], "_a", [0.5]).select(F.col("q0").alias("_med"))
+    out = trades.join(F.broadcast(med), how="left")  # one row
+    risk = stop * F.coalesce(good, "_med", F.lit(1.0))
+    return out.withColumn("r", F.when(F.col("exit").isNull() | (risk <= 0), 0.0).otherwise((F.col("exit") - F.col("entry")) * F.col("side") / risk)).drop("_med")
+
+
+def on_menu(values: dict[str, tuple[Column, list]], features: Column, catalog: list[str], least: int = 2, most: int = 12) -> Column:
+    """Whether every value is on its menu and the features, where there are any, are ``least`` to ``most`` different ones of the catalog."""
+    ok = F.lit(True)
+    for value, menu in values.values():
+        ok = ok & F.coalesce(value.isin(*menu), F.lit(False))
+    n = F.size(features)
+    known = (n >= least) & (n <= most) & (F.size(F.array_distinct(features)) == n) & (F.size(F.array_except(features, F.array(*map(F.lit, catalog)))) == 0)
+    return ok & (features.isNull() | known)
+
+
+def digest_line() -> Column:
+    """What a proposer may read of an event (type, side, reason, verdict, clauses): verdicts and names of failing clauses, no magnitude out of sample."""
+    failing = F.array_join(F.sort_array(F.map_keys(F.map_filter("clauses", lambda k, v: ~v))), ", ")
+    told = F.format_string("  -> READOUT VERDICT=%s (failing clauses: %s)", "verdict", F.when(failing == "", "none").otherwise(failing))
+    return F.when(F.col("type") == "cycle.open", F.concat(F.lit("cycle: "), "side")).when(F.col("type") == "cycle.no_candidate", "  -> KILLED AT GATE (chance-level)").when(F.col("type") == "cycle.parked", F.concat(F.lit("  -> PARKED: "), F.substring("reason", 1, 70))).when(F.col("type") == "readout.failed", "  -> READOUT FAILED (engine error; spend recorded)").when(F.col("type") == "readout.record", told)

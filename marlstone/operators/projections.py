@@ -281,7 +281,7 @@ def cycles(log: DataFrame) -> DataFrame:
     marks = marks.union(sent.select("seq", "cycle_id", F.lit("dispatch"), F.when((F.col("job_kind") == "stage0_enumerate") & (F.size("inputs.stage0_valid") > 0), F.col("inputs.stage0_valid"))))
     after = since(marks, opened, "cycle_id").groupBy("cycle_id").agg(F.bool_or(F.col("mark") == "close").alias("_closed"), F.count_if(F.col("mark") == "dispatch").alias("n_dispatched"), F.max_by("valid", F.when(F.col("valid").isNotNull(), F.col("seq"))).alias("stage0_valid"))
     out = last_by(opened, "cycle_id", "score_fn_version", "promotion_predicate_version", "cost_model_version", "dial_budget_rule_version").join(after, "cycle_id", "full")
-    return out.withColumn("status", F.when(F.col("_closed"), "closed").otherwise("open")).drop("_closed")
+    return out.withColumns({"status": F.when(F.col("_closed"), "closed").otherwise("open"), "n_dispatched": F.coalesce("n_dispatched", F.lit(0).cast("long"))}).drop("_closed")
 
 
 def open_cycle(log: DataFrame) -> DataFrame:

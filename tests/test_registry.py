@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlstone.plans import governance, registry, views  # noqa: F401
+from marlstone.plans import governance, ledgers, registry, views  # noqa: F401
 from tests import oracle
 
 
