@@ -129,8 +129,12 @@ def plan(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    return _sharded(rows, shard_bytes)[0]
+
+
+def _sharded(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     """Add ``shard``: a number that rises with page_id (null last), with about ``shard_bytes`` of payload each, or more where
-    that would make over ``GRID`` / 4 shards.
+    that would make over ``GRID`` / 4 shards. Also returns the number of shards.
 
     Payload bytes are summed over a grid of ``GRID`` cells of the ids' range; cells above the target, ``GRID`` / 4 at most, are summed again over a
     grid of their own. The sums are counted, and sent to all tasks only up to ``MOST_CELLS`` rows. A range of ids that the second grid can't part stays one shard.
@@ -150,8 +154,9 @@ def sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
     upto = F.sum("n").over(Window.orderBy("_cell", "_sub")) - F.col("n")
     cells = cells.select(F.col("_cell").alias("_c"), F.col("_sub").alias("_s"), F.floor(upto / shard_bytes).cast("int").alias("shard"))
     cells = Scratch(rows.sparkSession, "warc-cells").table("cells", cells)
-    cells = F.broadcast(cells) if cells.count() <= MOST_CELLS else cells
-    return rows.join(cells, (F.col("_cell") == F.col("_c")) & F.col("_s").isin(-1) | (F.col("_cell") == F.col("_c")) & (F.col("_sub") == F.col("_s"))).drop("_cell", "_sub", "_c", "_s")
+    n, last = cells.agg(F.count(F.lit(1)), F.max("shard")).first()
+    cells = F.broadcast(cells) if n <= MOST_CELLS else cells
+    return rows.join(cells, (F.col("_cell") == F.col("_c")) & F.col("_s").isin(-1) | (F.col("_cell") == F.col("_c")) & (F.col("_sub") == F.col("_s"))).drop("_cell", "_sub", "_c", "_s"), (last or 0) + 1
 
 
 def write(pages: DataFrame, path: str, roll: int = ROLL_BYTES, least: int = LEAST_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -162,9 +167,8 @@ def write(pages: DataFrame, path: str, roll: int = ROLL_BYTES, least: int = LEAS
     """
     sort = [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest")]
     run_dir = Scratch(pages.sparkSession, "warc-plan")
-    rows = sharded(run_dir.table("plan", plan(pages, least)), shard_bytes)
-    shards = rows.agg(F.max("shard")).first()[0]
-    rows = rows.repartition((shards or 0) + 1, F.col("shard")).sortWithinPartitions("shard", *sort)
+    rows, shards = _sharded(run_dir.table("plan", plan(pages, least)), shard_bytes)
+    rows = rows.repartition(shards, F.col("shard")).sortWithinPartitions("shard", *sort)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(path)
