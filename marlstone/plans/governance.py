@@ -282,5 +282,5 @@ def admission_decide(spark, d):
     }
     rest = {"snapshots": "snapshot_id string, raw_sha256 string", "featuresets": "featureset_id string", "features": "feature_id string", "families": "family_id string", "populations": "artifact_id string, status string, causality_class string, mutation_audit_pass boolean", "kill_list": "axis string", "readouts": "readout_id string, block_id string, recorded boolean, voided boolean", "batches": "batch_id string, closed boolean", "stamps": "artifact_id string, stamp_kind string, passed boolean, windowset_id string, population_ref string", "lineages": "lineage string, one_shot array<string>, months array<string>, remaining long", "spends": "wiv_id string", "scorecards": "key_hash string, payload_sha256 string", "clause_stamps": "candidate_id string, clause string, stamp string", "constants": "series string, doc_id string", "suspended": "key string, suspended boolean"}
     state |= {k: empty(v) for k, v in rest.items()} | {"blocks": _blocks(o)}
-    out = admission.decide(drafts, P.State(**state))
+    out = admission.decide(drafts, P.State(**state), {k for k, _ in kinds.values()})
     return out.select(F.col("event_id").cast("long").alias("event_id"), F.coalesce("code", F.lit("ACCEPTED")).alias("code"), "noop", "fired")

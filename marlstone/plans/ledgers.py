@@ -66,12 +66,12 @@ def deflation_by_block(spark, d):
 
 
 @query(L + """, q AS (SELECT u, max(seq) AS s FROM l WHERE m = 0 GROUP BY u), a AS (SELECT l.*, s FROM l JOIN q USING (u) WHERE seq > s AND m IN (1, 2))
-SELECT 'r' || u AS readout_id, max(seq) FILTER (WHERE m = 1) AS seq, arg_max(CASE WHEN v > 200 OR seq % 17 = 0 THEN 'L2' WHEN v > 60 THEN 'L1' ELSE 'none' END, seq) FILTER (WHERE m = 1) AS class, bool_or(m = 2) AS voided, 'w' || (s % 5) AS lineage FROM a WHERE s % 3 > 0 GROUP BY u, s HAVING bool_or(m = 1)""")
+SELECT 'r' || u AS readout_id, max(seq) FILTER (WHERE m = 1) AS seq, arg_max(CASE WHEN v > 200 OR seq % 17 = 0 THEN 'L2' WHEN v > 60 THEN 'L1' ELSE 'none' END, seq) FILTER (WHERE m = 1) AS class, bool_or(m = 2) AS voided, 'w' || (s % 5) AS lineage FROM a WHERE (s // 6) % 3 > 0 GROUP BY u, s HAVING bool_or(m = 1)""")
 def fold_placebo_history(spark, d):
     """Recorded readouts with their class; those for rehearsal leave no mark. Windowsets are unknown, so each is its own lineage."""
     r = _name("r", "u")
     result = F.struct(F.col("v").alias("max_z"), F.lit(60.0).alias("gate_ref"), F.lit(200.0).alias("extended_max"), (F.col("seq") % 17 == 0).alias("at_shot_clause_pass"))
-    log = _log(spark, d, {0: ("readout.request", _doc(readout_id=r, windowset_id=_name("w", F.col("seq") % 5), purpose=F.when(F.col("seq") % 3 == 0, "rehearsal").otherwise("readout"))), 1: ("readout.record", _doc(readout_id=r, five_clause=F.struct(F.lit(True).alias("c")), placebo_result=result)), 2: ("readout.void", _doc(readout_id=r))})
+    log = _log(spark, d, {0: ("readout.request", _doc(readout_id=r, windowset_id=_name("w", F.col("seq") % 5), purpose=F.when(F.floor(F.col("seq") / 6) % 3 == 0, "rehearsal").otherwise("readout"))), 1: ("readout.record", _doc(readout_id=r, five_clause=F.struct(F.lit(True).alias("c")), placebo_result=result)), 2: ("readout.void", _doc(readout_id=r))})
     return P.placebo_history(log, spark.createDataFrame([], "windowset_id string, lineage_id string"))
 
 
