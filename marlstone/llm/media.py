@@ -31,13 +31,19 @@ PREFIX = "sha256:"
 
 
 class Items(HTMLParser):
-    """Collects (kind, text, ref, caption) in reading order."""
+    """Collects (kind, text, ref, caption) in reading order.
 
-    def __init__(self):
+    A figure's caption goes to all its media, before or after it; without media it is a text item where it stands. What is in hidden elements is left out, text and media.
+    ``shown`` are names of hidden elements that count as shown, as where they are never closed.
+    """
+
+    def __init__(self, shown: frozenset = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.kinds = HIDDEN - shown
+        self.open: list[str] = []
+        self.said: tuple[int, str] | None = None
         self.items: list[list] = []
         self.text: list[str] = []
-        self.hidden = 0
         self.caption: list[str] | None = None
         self.figure: list[int] | None = None
 
@@ -48,43 +54,58 @@ class Items(HTMLParser):
         self.text = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
+        if tag in self.kinds:
+            self.open.append(tag)
         if tag in BLOCKS:
             self._block()
         if tag == "figure":
+            self._told()
             self.figure = []
         elif tag == "figcaption":
             self.caption = []
         named = dict(attrs)
-        if tag in MEDIA and named.get("src"):
+        if tag in MEDIA and named.get("src") and not self.open:
             self._block()
             if self.figure is not None:
                 self.figure.append(len(self.items))
             self.items.append([MEDIA[tag], None, named["src"], named.get("alt")])
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.open:
+            self.open.reverse()
+            self.open.remove(tag)
+            self.open.reverse()
         elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = "".join(self.caption).strip(), None
-            for i in self.figure or []:
-                self.items[i][3] = said
-            if not self.figure and said:
-                self.items.append(["text", said, None, None])
+            self.said, self.caption = (len(self.items), "".join(self.caption).strip()), None
+            if self.figure is None:
+                self._told()
         elif tag in BLOCKS:
             self._block()
         if tag == "figure":
+            self._told()
             self.figure = None
 
+    def _told(self) -> None:
+        """Give the caption that was read to the figure's media, or leave it as text."""
+        if self.said is None:
+            return
+        (at, said), self.said = self.said, None
+        for i in self.figure or []:
+            self.items[i][3] = said
+        if not self.figure and said:
+            self.items.insert(at, ["text", said, None, None])
+
     def handle_data(self, data):
-        if self.hidden:
+        if self.open:
             return
         (self.text if self.caption is None else self.caption).append(data)
 
     def close(self):
         super().close()
+        if self.caption is not None:  # never closed
+            self.said, self.caption = (len(self.items), "".join(self.caption).strip()), None
         self._block()
+        self._told()
 
 
 def items_of(page: str | None) -> list[list]:
@@ -93,6 +114,10 @@ def items_of(page: str | None) -> list[list]:
     parser = Items()
     parser.feed(page)
     parser.close()
+    if parser.open:  # an element that is never closed hides nothing
+        parser = Items(frozenset(parser.open))
+        parser.feed(page)
+        parser.close()
     return parser.items
 
 

@@ -39,3 +39,11 @@ def test_items_stay_aligned(spark):
     store = spark.createDataFrame([("aa", 7), ("aa", 7), ("zz", 9)], "digest string, size int")
     got = sorted(((r.page_id, r.pos, r.kind, r.caption, r.size) for r in media.resolve(media.interleave(pages), store).collect()), key=repr)
     assert len(got) == 8 and (1, 2, "image", "Cap 1", 7) in got and (1, 5, "image", "B", None) in got and (None, 0, "text", None, None) in got
+
+
+def test_captions_and_hidden_elements():
+    page = '<p>a</p><figure><figcaption>Cap</figcaption><img src="x" alt="alt"><img src="y"></figure><p>b</p><figure><img src="z" alt="q"></figure><figure><figcaption>alone</figcaption></figure><p>c</p>'
+    assert media.items_of(page) == [["text", "a", None, None], ["image", None, "x", "Cap"], ["image", None, "y", "Cap"], ["text", "b", None, None], ["image", None, "z", "q"], ["text", "alone", None, None], ["text", "c", None, None]]
+    assert media.items_of('<p>a</p><template><img src="x">no</template><p>b</p>') == [["text", "a", None, None], ["text", "b", None, None]]
+    assert media.items_of('<p>a</p><noscript>x<p>b</p><img src="y">') == [["text", "a", None, None], ["text", "x", None, None], ["text", "b", None, None], ["image", None, "y", None]]
+    assert media.items_of("<figure><img src='x'><figcaption>open") == [["image", None, "x", "open"]]
