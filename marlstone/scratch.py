@@ -32,17 +32,24 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
+        self.written = 0
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the table read back, with the same schema."""
-        path = f"{self.path}/{name}"
+        """Write ``df`` and return the table read back, with the same schema. A name may be used again; its earlier tables stay.
+
+        Nothing reads the shuffles behind a written table any more. Spark deletes their files, and the broadcasts, only when the
+        driver's heap is collected, which a large heap puts off until long after the query; so it is asked for here.
+        """
+        self.written += 1
+        path = f"{self.path}/{name}/{self.written}"
         df.write.option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Delete the folder; DataFrames that read from it can't be used afterwards."""
+    def drop(self, name: str = "") -> None:
+        """Delete the tables of a name, or the folder; DataFrames that read from it can't be used afterwards."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
