@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, language, media, mixing, near, passages, privacy, toxicity, warc
+from marlstone.llm import chat, clusters, decontamination, language, media, mixing, near, passages, privacy, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(_read(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_privacy": op2_privacy,
@@ -66,5 +70,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_passages": op10_passages,
+    "op11_clusters": op11_clusters,
 }
-ORACLE = {"op3_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE}
+ORACLE = {"op3_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op11_clusters": clusters.ORACLE}
