@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, clusters, decontamination, language, media, mixing, near, packing, passages, privacy, toxicity, warc
+from marlstone.llm import alignment, chat, clusters, decontamination, language, media, mixing, near, packing, passages, privacy, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_read(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_read(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_passages": op10_passages,
     "op11_clusters": op11_clusters,
+    "op12_alignment": op12_alignment,
     "op13_packing": op13_packing,
 }
 ORACLE = {"op3_chat": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op11_clusters": clusters.ORACLE}
