@@ -163,7 +163,7 @@ def spend_rule(d: DataFrame, s: P.State) -> tuple[DataFrame, Column]:
     d = known(d, s.lineages, "lineage", "lineage", "one_shot", "months", "remaining")
     certs = F.transform(F.filter("windowset_id_windows", lambda w: w["role"] == "forward_certifier"), lambda w: F.concat(w["wiv_id"], F.lit("::"), F.col("scope_id")))
     spent = F.array_intersect(certs, "lineage_one_shot")
-    cap = s.held.get("velocity")  # (lineage, n, cap), where a cap is registered
+    cap = s.maybe("velocity")  # (lineage, n, cap), where a cap is registered
     d = d.withColumn("_fast", F.lit(False)) if cap is None else known(d, cap.where("n >= cap").withColumnRenamed("lineage", "fast"), "lineage", "fast").withColumn("_fast", F.col("has_fast"))
     paid = F.coalesce(F.col("purpose"), F.lit("readout")) == "readout"
     month = F.date_format("ts", "yyyy-MM")
@@ -295,10 +295,10 @@ def law(kind: Column, who: Column, imported: Column) -> Column:
     return barred | ((who == "scheduler") & ~kind.isin(*MECHANICAL)) | ((who == "human") & kind.isin(*MECHANICAL, "queue_reorder") & ~imported)
 
 
-def allowed(kind: Column, who: Column, override: Column) -> Column:
-    """ADM-4: whether the actor's list holds the type. ``override``: map of actor class to a list that replaces the fixed one; humans and the scheduler have none."""
+def allowed(kind: Column, who: Column, actor: Column, override: Column) -> Column:
+    """ADM-4: whether the actor's list holds the type. ``override``: map of actor, or of a class of them, to a list that replaces the fixed one; humans and the scheduler have none."""
     seeded = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    mine = F.coalesce(override[who], seeded[who])
+    mine = F.when(who.isin(*ALLOWED), F.coalesce(override[actor], override[who], seeded[who]))
     return mine.isNull() | F.array_contains(mine, kind)
 
 
@@ -312,7 +312,7 @@ def fires(drafts: DataFrame, state: P.State) -> DataFrame:
     met = cites.join(armed, "_c")
     body = payloads.validate(F.col("_bt"), F.col("_bp"))
     met = met.withColumn("_body", F.coalesce(body["sha256"], canonical_sha256(F.col("_bp"))))
-    if "suspended" in state.held or state.log is not None:
+    if state.maybe("suspended") is not None:
         met = met.withColumn("_key", F.lit(P.CHANNEL)).join(state.suspended.select(F.col("key").alias("_key"), "suspended"), "_key", "left")
     else:
         met = met.withColumn("suspended", F.lit(False))
@@ -345,9 +345,9 @@ def decide(drafts: DataFrame, state: P.State, kinds: set[str] | None = None, sch
     out = out.join(fires(good, state), "event_id", "left") if scheduled else out.withColumns({"fired": none, "_f": F.lit(None).cast("struct<code:string,detail:string>")})
     out = out.join(state.seen().distinct().withColumn("_seen", F.lit(True)), "event_id", "left")
     out = out.join(F.broadcast(state.open_cycle), how="left")  # one row
-    over = state.held.get("allowlist")
+    over = state.maybe("allowlist")
     override = F.lit(None).cast("map<string,array<string>>")
-    if over is not None:  # a row for each class of actors, five at most
+    if over is not None:  # entries of one document, by actor
         out = out.join(F.broadcast(over.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("actor", "types"))).alias("_over"))), how="left")
         override = F.col("_over")
     fired = F.col("fired").isNotNull() & F.col("_f").isNull()
@@ -361,7 +361,7 @@ def decide(drafts: DataFrame, state: P.State, kinds: set[str] | None = None, sch
         rule(F.col("_error").isNotNull() | who.isNull() | ~F.col("provenance").isin("scheduled", "discretionary"), "SCHEMA_INVALID", F.coalesce("_error", F.lit("actor or provenance"))),
         F.col("_f"),
         rule(~fired & law(kind, who, F.col("imported")), "ACTOR_FORBIDDEN"),
-        rule(~fired & ~allowed(kind, who, override), "ACTOR_FORBIDDEN"),
+        rule(~fired & ~allowed(kind, who, F.col("actor"), override), "ACTOR_FORBIDDEN"),
         rule(open_, "CYCLE_OPEN_DISCRETIONARY", F.col("open_cycle")),
         rule(unsaid, "NO_HYPOTHESIS"),
         handled,

@@ -1,11 +1,16 @@
 """The log as a whole: enrich, decide, append, replay, answer, render and export.
 
 A ledger is a folder of text files, one for each appended batch, named by the seq it begins with; every line is the canonical JSON that was hashed. There is one writer.
+
+A batch is written under the name of an attempt and renamed once it is whole, so a crash at any step leaves a ledger that appends on: what an attempt left behind is
+deleted by the next append, and a batch that isn't whole is set aside. Every ``SNAPSHOT`` batches the bases of the state are written beside the log, with the seq they reach; a state reads the
+last snapshot and the batches since. Hidden folders: ``_attempts``, ``_snapshots``, ``_abandoned``.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +19,13 @@ from pyspark.sql import functions as F
 from marlstone.operators import admission, eventlog, payloads, predicates
 from marlstone.operators import projections as P
 from marlstone.scratch import Scratch
+from marlstone.sources.files import Folder
 
 DRAFT = "event_id string, ts timestamp, type string, actor string, provenance string, hypothesis string, reasoning string, expected_outcome string, cites array<string>, payload string, imported boolean"
 ENVELOPE = ["event_id", "ts", "type", "actor", "provenance", "hypothesis", "reasoning", "expected_outcome", "cites", "payload", "imported"]
 HASHED = {"dataset.register": ("path", "computed_raw_sha256"), "artifact.register": ("path", "computed_sha256")}
+SNAPSHOT = 50  # batches
+KEPT = 2  # snapshots
 HEADER = "# LEDGER — derived, prefix-stable render of the event log. DO NOT EDIT.\n"
 
 
@@ -40,71 +48,147 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str, genesis: str = eventlog.GENESIS):
-        self.spark, self.path, self.genesis = spark, path.rstrip("/"), genesis
+    def __init__(self, spark: SparkSession, path: str, genesis: str = eventlog.GENESIS, every: int = SNAPSHOT):
+        self.spark, self.path, self.genesis, self.every = spark, path.rstrip("/"), genesis, every
+        self.folder = Folder(spark, self.path)
+        self._decided: Scratch | None = None
 
     def exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self.folder.has()
+
+    def batches(self, since: int = 0) -> list[str]:
+        """Names of the batches that begin at a seq of ``since`` or more, in order."""
+        return [n for n in self.folder.names() if n.startswith("batch-") and int(n[6:]) >= since]
 
-    def lines(self) -> DataFrame:
+    def lines(self, since: int = 0) -> DataFrame:
         """(log, line_no, raw): the files of batches in order of their names, which is that of their seqs."""
-        if not self.exists():
+        names = self.batches(since)
+        if not names:
             return self.spark.createDataFrame([], "log string, line_no long, raw string")
-        files = self.spark.read.text(self.path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("_f"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("_i", "raw")).where(F.col("raw") != "")
+        where = [f"{self.path}/{n}" for n in names] if since else [self.path]
+        files = self.spark.read.text(where, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("_f"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("_i", "raw")).where(F.col("raw") != "")
         counts = files.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))  # one row for each batch
         ahead = counts.select(F.col("_f").alias("_g"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
         return files.join(ahead, F.col("_f") == F.col("_g")).select(F.lit(self.path).alias("log"), (F.col("_a") + F.col("_i")).cast("long").alias("line_no"), "raw")
 
-    def events(self) -> DataFrame:
-        """The log's events; a line that isn't JSON is left out, as ``verify`` tells of it."""
-        e = F.from_json("raw", f"seq long, {DRAFT}, prev_hash string, event_hash string")
-        return self.lines().select(e.alias("e")).where("e.seq IS NOT NULL").select("e.*")
+    def events(self, since: int = 0) -> DataFrame:
+        """The log's events, or those of the batches from ``since`` on; a line that isn't JSON is left out, as ``verify`` tells of it."""
+        names = self.batches(since)
+        fields = f"seq long, {DRAFT}, prev_hash string, event_hash string"
+        if not names:
+            return self.spark.createDataFrame([], fields)
+        where = [f"{self.path}/{n}" for n in names] if since else self.path
+        rows = self.spark.read.text(where, recursiveFileLookup=True)
+        return rows.select(F.from_json("value", fields).alias("e")).where("e.seq IS NOT NULL").select("e.*")
 
     def verify(self) -> dict:
         r = eventlog.verify(self.lines(), self.genesis).first()
         return {"ok": r is None or r.first_bad_seq is None, "n_events": r.n if r else 0, "first_bad_seq": r.first_bad_seq if r else None, "torn_tail": bool(r and r.torn_tail)}
 
     def head(self) -> tuple[int, str]:
-        """The next seq and the hash it goes on."""
-        r = self.events().groupBy().agg(F.max("seq").alias("s"), F.max_by("event_hash", "seq").alias("h")).first()
-        return (r.s + 1, r.h) if r.s is not None else (0, self.genesis)
-
-    def state(self, **given: DataFrame) -> P.State:
-        return P.State(self.events(), **given)
+        """The next seq and the hash it goes on, from the last batch."""
+        names = self.batches()
+        r = self.events(int(names[-1][6:])).groupBy().agg(F.max("seq").alias("s"), F.max_by("event_hash", "seq").alias("h")).first() if names else None
+        return (r.s + 1, r.h) if r and r.s is not None else (0, self.genesis)
+
+    def snapshots(self) -> list[int]:
+        """The seqs that written snapshots reach: each has all events before."""
+        return [int(n) for n in self.folder.names("_snapshots")]
+
+    def state(self, cold: bool = False, **given: DataFrame) -> P.State:
+        """The state of all events: the last snapshot, merged with the events since; or, ``cold``, of all events anew."""
+        at = max(self.snapshots(), default=0)
+        if cold or not at or self._rewrites(at):
+            return P.State(self.events(), **given)
+        return P.State(self.events(at), self._carried(at), **given)
+
+    def _carried(self, at: int) -> Callable[[str], DataFrame]:
+        return lambda name: self.spark.read.parquet(f"{self.path}/_snapshots/{at:012d}/{name}")
+
+    def _rewrites(self, at: int) -> bool:
+        """Whether an event since the snapshot registers a windowset that it has: earlier events would then belong to another lineage."""
+        if not self.batches(at):
+            return False
+        again = P.windowset_rows(self.events(at)).select("windowset_id")
+        return again.join(self._carried(at)("windowset_rows").select("windowset_id"), "windowset_id").limit(1).count() > 0
+
+    def snapshot(self) -> int:
+        """Write the bases of the state as of the head, and return the seq they reach. A snapshot that isn't whole stays under the name of its attempt."""
+        seq, _ = self.head()
+        name = f"{seq:012d}"
+        if seq and not self.folder.has(f"_snapshots/{name}"):
+            attempt, s = f"_attempts/{uuid.uuid4().hex}", self.state()
+            for base in P.CARRIED:
+                getattr(s, base).coalesce(1).write.parquet(f"{self.path}/{attempt}/{base}")
+            s.close()
+            self.folder.move(attempt, f"_snapshots/{name}")
+            for old in self.snapshots()[:-KEPT]:
+                self.folder.drop(f"_snapshots/{old:012d}")
+        return seq
+
+    def recover(self) -> list[str]:
+        """Delete what unfinished attempts left, and set aside batches that aren't whole (without the mark that Spark's writer leaves last). Returns the names of these."""
+        self.folder.drop("_attempts")
+        torn = [n for n in self.batches() if not self.folder.has(f"{n}/_SUCCESS")]
+        for n in torn:
+            self.folder.move(n, f"_abandoned/{n}-{uuid.uuid4().hex}")
+        return torn
+
+    def commit(self, made: DataFrame, seq: int) -> None:
+        """Write the lines of events (seq, line) as the batch that begins at ``seq``: all of it appears at once."""
+        attempt = f"_attempts/{uuid.uuid4().hex}"
+        made.orderBy("seq").coalesce(1).select("line").write.text(f"{self.path}/{attempt}")
+        self.folder.move(attempt, f"batch-{seq:012d}")
 
     def append(self, drafts: DataFrame, files: DataFrame | None = None, **given: DataFrame) -> DataFrame:
         """Decide a batch of drafts against the log so far and append those that are accepted, in order of ``_order`` or else of ts and event_id.
 
-        Returns (event_id, accepted, noop, code, detail, fired). Drafts of one batch don't see each other; of those with one event_id the first is taken. Drafts that depend on one
-        another belong to batches of their own, as ``follow`` makes of the files of an inbox.
+        Returns (event_id, accepted, noop, code, detail, fired), which can be read until the next append. Drafts of one batch don't see each other; of those with one event_id the first is
+        taken. Drafts that depend on one another belong to batches of their own, as ``follow`` makes of the files of an inbox. Reads the last snapshot and the batches since it; every
+        ``every`` batches a new one is written.
         """
-        run = Scratch(self.spark, "append")
+        self.recover()
+        if self._decided:
+            self._decided.drop()
+        run, self._decided = Scratch(self.spark, "append"), Scratch(self.spark, "decided")
         by = ["_order"] if "_order" in drafts.columns else ["ts", "event_id"]
         whole = run.table("enriched", enrich(drafts, files).withColumn("_order", F.struct(*by)))
         one = whole.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in whole.columns if c != "event_id"]), "_order").alias("e")).select("event_id", "e.*")
         occur = one.select("type", "actor").distinct().collect()  # types and actors, not drafts
-        decided = run.table("decided", admission.decide(one, self.state(**given), {r.type for r in occur}, any(r.actor == "scheduler:daemon" for r in occur)))
+        state = self.state(**given)
+        decided = self._decided.table("decided", admission.decide(one, state, {r.type for r in occur}, any(r.actor == "scheduler:daemon" for r in occur)))
+        state.close()
         seq, head = self.head()
         taken = one.join(decided.where("accepted AND NOT noop").select("event_id"), "event_id", "left_semi")
         made = eventlog.chain(taken.withColumns({"ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), "cites": F.to_json(F.coalesce("cites", F.array().cast("array<string>"))), "imported": F.coalesce("imported", F.lit(False))}), seq, head, ENVELOPE)
         made = run.table("made", made)
         if made.limit(1).count():
-            made.orderBy("seq").coalesce(1).select("line").write.text(f"{self.path}/batch-{seq:012d}")
+            self.commit(made, seq)
+            if len(self.batches(max(self.snapshots(), default=0))) >= self.every:
+                self.snapshot()
+        run.drop()
         return decided
 
-    def follow(self, inbox: str, checkpoint: str, accepted: str, rejected: str, hooks: tuple[Callable, ...] = ()):
-        """Take the files of an inbox as they come, a file at a time, as one draft may depend on the one before; then write decisions to two folders and call the hooks."""
-        rows = self.spark.readStream.schema(DRAFT).option("maxFilesPerTrigger", 1).option("multiLine", True).json(inbox)
+    def follow(self, inbox: str, checkpoint: str, accepted: str, rejected: str, hooks: tuple[Callable, ...] = (), every: str | None = None):
+        """Take the files of an inbox as they come. All that are pending make a batch, in which they are decided one after the other in order of their names, as one draft may depend on
+        the one before; then decisions are written to two folders and the hooks called. Without ``every``, a trigger's interval, the stream ends once the inbox is empty. A batch that is run
+        again after a crash changes nothing: the log has its drafts already.
+        """
+        rows = self.spark.readStream.schema(DRAFT).option("multiLine", True).json(inbox).withColumn("_file", F.col("_metadata.file_name"))
 
         def batch(df: DataFrame, n: int) -> None:
-            got = self.append(df.drop("_metadata"))
-            got.where("accepted").write.mode("append").json(accepted)
-            got.where("NOT accepted").write.mode("append").json(rejected)
+            run = Scratch(self.spark, "inbox")
+            pending = run.table("drafts", df)
+            for name in [r[0] for r in pending.select("_file").distinct().orderBy("_file").collect()]:
+                got = self.append(pending.where(F.col("_file") == name).drop("_file", "_metadata")).withColumns({"file": F.lit(name), "batch": F.lit(n)})
+                got.where("accepted").write.mode("append").json(accepted)
+                got.where("NOT accepted").write.mode("append").json(rejected)
+            run.drop()
             for hook in hooks:
                 hook(self, n)
 
-        return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+        out = rows.writeStream.option("checkpointLocation", checkpoint)
+        return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).foreachBatch(batch).start()
 
     def render(self) -> DataFrame:
         return render(self.events())
@@ -145,7 +229,7 @@ def point(s: P.State, kind: str, key: str) -> DataFrame:
 
 def health(s: P.State) -> DataFrame:
     """One row: last seq, head of the chain, open cycle, whether the channel is suspended."""
-    e = s.log.groupBy().agg(F.max("seq").alias("as_of_seq"), F.max_by("event_hash", "seq").alias("head"))
+    e = s.tip.groupBy().agg(F.max("seq").alias("as_of_seq"), F.max_by("event_hash", "seq").alias("head"))
     quiet = s.suspended.groupBy().agg(F.coalesce(F.bool_or("suspended"), F.lit(False)).alias("suspended"))
     return e.join(F.broadcast(s.open_cycle), how="left").join(F.broadcast(quiet), how="left")  # one row each
 
@@ -228,8 +312,9 @@ def fire(ledger: Ledger, inbox: str) -> None:
 
 def replay_check(ledger: Ledger, live: str, names: tuple[str, ...] = ("features", "blocks", "lineages", "readouts", "constants", "cycles")) -> tuple[str, bool]:
     """The hash of the state that a cold replay gives, and whether it is the live one."""
-    s = ledger.state()
+    s = ledger.state(cold=True)
     cold = P.state_hash({n: getattr(s, n) for n in names})
+    s.close()
     return cold, cold == live
 
 

@@ -14,21 +14,33 @@ from pyspark.sql import functions as F
 from marlstone.scratch import Scratch
 
 
-def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``place`` (from 0, by ``order``) and ``n`` (rows) within each group; a null is a group as others. Rows that are equal in ``order`` get places in any order.
+def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: Scratch | None, **totals: Column) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows dealt by range, and by (range, group) the sum of ``own`` in the ranges before (``_ahead``) and ``totals`` of the group; and how the two join.
 
-    Only the counts of (range, group) meet by group: at most one for each range and one for each group.
+    Only the sums of (range, group) meet by group: at most one for each range and one for each group.
     """
-    run = Scratch(rows.sparkSession, "placed")
-    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    run = run or Scratch(rows.sparkSession, "placed")
     gs = [f"_g{i}" for i in range(len(by))]
     dealt = run.table("dealt", rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
-    counts = dealt.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_k"))
+    sums = dealt.groupBy("_p", *[F.col(c).alias(g) for c, g in zip(by, gs)]).agg(own.alias("_k"))
     whole = Window.partitionBy(*(gs or [F.lit(0)]))
-    ahead = counts.select("_p", *gs, F.coalesce(F.sum("_k").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("_k").over(whole).alias("n")).withColumnRenamed("_p", "_q")
+    before = F.coalesce(F.sum("_k").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead")
+    ahead = sums.select(F.col("_p").alias("_q"), *gs, before, *[t.over(whole).alias(n) for n, t in totals.items()])
+    return dealt, ahead, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, gs)], F.col("_p") == F.col("_q"))
+
+
+def placed(rows: DataFrame, by: list[str], order: list[str], run: Scratch | None = None) -> DataFrame:
+    """Adds ``place`` (from 0, by ``order``) and ``n`` (rows) within each group; a null is a group as others. Rows that are equal in ``order`` get places in any order."""
+    dealt, ahead, same = _dealt(rows, by, order, F.count(F.lit(1)), run, n=F.sum("_k"))
     own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)))
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, gs)], F.col("_p") == F.col("_q"))
-    return own.join(ahead, same).withColumn("place", F.col("_ahead") + F.col("_r") - 1).drop("_p", "_q", "_r", "_ahead", *gs)
+    return own.join(ahead, same).withColumn("place", F.col("_ahead") + F.col("_r") - 1).drop("_p", "_q", "_r", "_k", "_ahead", *[f"_g{i}" for i in range(len(by))])
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], value: str, name: str = "total", run: Scratch | None = None) -> DataFrame:
+    """Adds as ``name`` the sum of ``value`` over the group's rows up to this one by ``order``; a null counts nothing."""
+    dealt, ahead, same = _dealt(rows, by, order, F.coalesce(F.sum(value), F.lit(0)), run)
+    own = dealt.withColumn("_r", F.coalesce(F.sum(value).over(Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return own.join(ahead, same).withColumn(name, F.col("_ahead") + F.col("_r")).drop("_p", "_q", "_r", "_ahead", *[f"_g{i}" for i in range(len(by))])
 
 
 def points(rows: DataFrame, by: list[str], x: str, qs: list[float]) -> DataFrame:

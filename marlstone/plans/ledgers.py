@@ -36,7 +36,7 @@ def fold_blocks(spark, d):
     b = _name("b", "u")
     arm = lambda name, n: F.struct(F.lit(name).alias("arm_id"), n.cast("long").alias("budget"))
     log = _log(spark, d, {0: ("block.register", _doc(block_id=b, family_id="m", featureset_hash="f", arms=F.array(arm("a", F.col("seq") % 5 + 1), arm("b", F.lit(10))))), 1: ("block.freeze", _doc(block_id=b, declared_width=3)), 2: ("block.close", _doc(block_id=b)), 3: ("block.supersede", _doc(old_block_id=b, new_block_id=_name("c", "seq"))), 4: ("trials.open_batch", _doc(batch_id="t", block_id=b, n_planned=F.col("seq") % 3))})
-    return P.blocks(log).select("block_id", "frozen", "closed", "superseded_by", "budget_remaining")
+    return P.blocks(P.block_base(log)).select("block_id", "frozen", "closed", "superseded_by", "budget_remaining")
 
 
 @query(L + """, g AS (SELECT u, max(seq) FILTER (WHERE m = 0) AS s FROM l WHERE m < 4 GROUP BY u), a AS (SELECT l.* FROM l JOIN g USING (u) WHERE m IN (1, 2) AND (s IS NULL OR seq > s))
@@ -45,7 +45,7 @@ def fold_cycles(spark, d):
     y = _name("y", "u")
     kind = F.when(F.col("seq") % 4 == 0, "stage0_enumerate").otherwise("rehearsal")
     log = _log(spark, d, {0: ("cycle.open", _doc(cycle_id=y, score_fn_version="1")), 1: ("cycle.close", _doc(cycle_id=y)), 2: ("stage.dispatch", _doc(cycle_id=y, job_kind=kind, job_id="j", inputs=F.struct(F.array(_name("k", "seq")).alias("stage0_valid"))))})
-    return P.cycles(log).select("cycle_id", "status", "n_dispatched", F.array_join("stage0_valid", ",").alias("valid"))
+    return P.cycles(P.cycle_base(log)).select("cycle_id", "status", "n_dispatched", F.array_join("stage0_valid", ",").alias("valid"))
 
 
 @query(L + " SELECT 'readout_conditional_channel' AS key, arg_max(seq % 4 < 2, seq) AS suspended FROM l WHERE m = 0")
@@ -61,7 +61,7 @@ def deflation_by_block(spark, d):
     """Batches, also those without a record, and recorded rows of each block."""
     t = _name("t", "u")
     log = _log(spark, d, {0: ("trials.open_batch", _doc(batch_id=t, block_id=_name("b", F.col("seq") % 7), n_planned=1)), 1: ("trials.record", _doc(batch_id=t, block_id="x", n_rows=F.col("seq") % 10))})
-    b = P.batches(log).where("block_id IS NOT NULL")
+    b = P.batches(P.batch_base(log)).where("block_id IS NOT NULL")
     return b.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_rows").alias("n_rows"))
 
 
@@ -72,7 +72,7 @@ def fold_placebo_history(spark, d):
     r = _name("r", "u")
     result = F.struct(F.col("v").alias("max_z"), F.lit(60.0).alias("gate_ref"), F.lit(200.0).alias("extended_max"), (F.col("seq") % 17 == 0).alias("at_shot_clause_pass"))
     log = _log(spark, d, {0: ("readout.request", _doc(readout_id=r, windowset_id=_name("w", F.col("seq") % 5), purpose=F.when(F.floor(F.col("seq") / 6) % 3 == 0, "rehearsal").otherwise("readout"))), 1: ("readout.record", _doc(readout_id=r, five_clause=F.struct(F.lit(True).alias("c")), placebo_result=result)), 2: ("readout.void", _doc(readout_id=r))})
-    return P.placebo_history(log, spark.createDataFrame([], "windowset_id string, lineage_id string"))
+    return P.placebo_history(P.readouts(P.readout_base(log)), spark.createDataFrame([], "windowset_id string, lineage_id string"))
 
 
 @query(L + """, s AS (SELECT u, v, seq, m FROM l) SELECT 'c' || u AS series, 'd' || max(seq) AS doc_id, array_to_string(list_filter([CASE WHEN arg_max(seq % 2, seq) = 0 THEN 'a' END, 'b'], lambda x: x IS NOT NULL), ',') AS provisional FROM s WHERE m < 2 GROUP BY u""")
