@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def series():
-    """All rows of a series in order of time."""
-    return Window.partitionBy("series").orderBy("ts")
+    """Rows of a cell of a series (``recurrences.cells``) in order of time."""
+    return Window.partitionBy("series", "_cell").orderBy("ts")
 
 
 def last(n: int):
