@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.placing import highest, placed, running
 from marlstone.scratch import Scratch
 
 NEIGHBOUR_BYTES = 64 << 20  # what may be sent to all tasks
@@ -31,8 +32,7 @@ def asof_forward(left: DataFrame, at: str, right: DataFrame, ts: str, by: str, c
 
 def positional(left: DataFrame, right: DataFrame, by: str, lo: list[str], ro: list[str]) -> DataFrame:
     """The k-th row of a group on the left with the k-th of that group on the right."""
-    a = left.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(*lo)))
-    b = right.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(*ro)))
+    a, b = (placed(rows, [by], order).withColumn("k", F.col("place") + 1).drop("place", "n") for rows, order in ((left, lo), (right, ro)))
     return a.join(b, [by, "k"])
 
 
@@ -80,29 +80,32 @@ def attach(rows: DataFrame, at: str, features: DataFrame, ts: str) -> DataFrame:
     return out.select(*rows.columns, *[hit[n].alias(f"fc_{n}") for n in names])
 
 
-def greedy_pairs(ins: DataFrame, outs: DataFrame, by: str, deal: str) -> DataFrame:
-    """Each in, in order of ``pos``, with the first unused out of a greater deal. An error where numbers of ins and outs differ, or an in finds none.
+def greedy(ins: DataFrame, outs: DataFrame, by: str, deal: str) -> DataFrame:
+    """(by, pos, deal_in, deal_out): each in, in order of ``pos``, takes the first out of a greater deal that stands behind the one taken before; null where none is left.
 
-    With one position at a time the k-th in meets the k-th out; others are passed over in order, a group at a time, as each choice depends on the one before.
+    Outs stand in order of their deals. The k-th in takes number k + the running maximum, over the ins until then, of (outs that aren't greater than the in) - (its number) + 1: each in
+    moves the next out on by one at least, and to the first that is greater. So counts and a prefix maximum, both made over ranges, replace the walk; a group of any size is spread over tasks.
     """
+    a = placed(ins.select(by, "pos", F.col(deal).alias("deal_in")), [by], ["pos"]).drop("n")
+    b = outs.select(by, F.col(deal).alias("deal_out"))
+    line = a.select(by, F.col("deal_in").alias("_d"), F.lit(1).alias("_in"), "pos", "place").unionByName(b.select(by, F.col("deal_out").alias("_d"), F.lit(0).alias("_in")), allowMissingColumns=True)
+    line = running(line.withColumn("_out", 1 - F.col("_in")), [by], ["_d", "_in"], "_out", "_less").where("_in = 1")
+    line = highest(line.select(by, "pos", F.col("_d").alias("deal_in"), "place", (F.col("_less") - F.col("place")).alias("_lead")), [by], ["place"], "_lead", "_most")
+    line = line.select(by, "pos", "deal_in", (F.col("place") + F.col("_most")).alias("_at"))
+    seats = placed(b, [by], ["deal_out"]).select(F.col(by).alias("_by"), "deal_out", F.col("place").alias("_seat"))
+    return line.join(seats, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_seat")), "left").select(by, "pos", "deal_in", "deal_out")
+
+
+def greedy_pairs(ins: DataFrame, outs: DataFrame, by: str, deal: str) -> DataFrame:
+    """Each in with its out (``greedy``). An error where numbers of ins and outs differ, or an in finds none."""
     n = ins.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).join(outs.groupBy(by).agg(F.count(F.lit(1)).alias("_m")), by, "full")
     bad = n.where(~F.col("_n").eqNullSafe(F.col("_m"))).select(by, F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce("_m", F.lit(0)).alias("m")).first()
     if bad:
         raise ValueError(f"{bad[0]}: {bad.n} ins but {bad.m} outs; not one position at a time")
-
-    def pair(key, left, right):
-        import pandas as pd
-
-        free, out = iter(sorted(right["_deal"])), []
-        for pos, d in left.sort_values("pos")[["pos", deal]].itertuples(index=False):
-            hit = next((o for o in free if o > d), None)
-            if hit is None:
-                raise ValueError(f"{key[0]}: no out after deal {d}")
-            out.append((key[0], pos, d, hit))
-        return pd.DataFrame(out, columns=[by, "pos", "deal_in", "deal_out"])
-
-    kind = dict(ins.dtypes)[by]
-    return ins.select(by, "pos", deal).groupBy(by).cogroup(outs.select(F.col(by).alias("_by"), F.col(deal).alias("_deal")).groupBy("_by")).applyInPandas(pair, f"{by} {kind}, pos long, deal_in long, deal_out long")
+    found = Scratch(ins.sparkSession, "greedy").table("pairs", greedy(ins, outs, by, deal))
+    if none := found.where("deal_out IS NULL").orderBy(by, "pos").first():
+        raise ValueError(f"{none[0]}: no out after deal {none.deal_in}")
+    return found
 
 
 def spent_not_carried(old: DataFrame, spent: DataFrame, carried: DataFrame) -> DataFrame:

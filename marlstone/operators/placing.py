@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from marlstone.scratch import Scratch
 
 
-def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: Scratch | None, **totals: Column) -> tuple[DataFrame, DataFrame, Column]:
-    """Rows dealt by range, and by (range, group) the sum of ``own`` in the ranges before (``_ahead``) and ``totals`` of the group; and how the two join.
+def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: Scratch | None, joined=F.sum, start: int | None = 0, **totals: Column) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows dealt by range, and by (range, group) what ``own`` comes to in the ranges before (``_ahead``, by ``joined``) and ``totals`` of the group; and how the two join.
 
     Only the sums of (range, group) meet by group: at most one for each range and one for each group.
     """
@@ -24,7 +24,7 @@ def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: S
     dealt = run.table("dealt", rows.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
     sums = dealt.groupBy("_p", *[F.col(c).alias(g) for c, g in zip(by, gs)]).agg(own.alias("_k"))
     whole = Window.partitionBy(*(gs or [F.lit(0)]))
-    before = F.coalesce(F.sum("_k").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead")
+    before = F.coalesce(joined("_k").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(start)).alias("_ahead")
     ahead = sums.select(F.col("_p").alias("_q"), *gs, before, *[t.over(whole).alias(n) for n, t in totals.items()])
     return dealt, ahead, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, gs)], F.col("_p") == F.col("_q"))
 
@@ -43,6 +43,13 @@ def running(rows: DataFrame, by: list[str], order: list[str], value: str, name:
     return own.join(ahead, same).withColumn(name, F.col("_ahead") + F.col("_r")).drop("_p", "_q", "_r", "_ahead", *[f"_g{i}" for i in range(len(by))])
 
 
+def highest(rows: DataFrame, by: list[str], order: list[str], value: str, name: str = "top", run: Scratch | None = None) -> DataFrame:
+    """Adds as ``name`` the greatest ``value`` of the group's rows up to this one by ``order``."""
+    dealt, ahead, same = _dealt(rows, by, order, F.max(value), run, F.max, None)
+    own = dealt.withColumn("_r", F.max(value).over(Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return own.join(ahead, same).withColumn(name, F.greatest("_ahead", "_r")).drop("_p", "_q", "_r", "_ahead", *[f"_g{i}" for i in range(len(by))])
+
+
 def points(rows: DataFrame, by: list[str], x: str, qs: list[float]) -> DataFrame:
     """(by, n, q0, q1, ..): quantiles of each group by plotting positions (i - 0.5) / n, clamped at both ends. Nulls don't count."""
     at = placed(rows.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")), by, ["_x"])
