@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import admission, eventlog, payloads, predicates
+from marlstone.operators import admission, eventlog, payloads, predicates, ranking
 from marlstone.operators import projections as P
 from marlstone.scratch import Scratch
 from marlstone.sources.files import Folder
@@ -368,3 +368,28 @@ def emit_cards(made: DataFrame, out: str) -> None:
     """Card files (side, card_id, payload), a file each, named by their content."""
     names = F.concat(F.lit("descriptor_"), "side", F.lit("_"), "card_id")
     made.select(names.alias("name"), "payload").repartition("name").write.partitionBy("name").mode("overwrite").text(out)
+
+
+METRICS = "stage int, net_pf_proxy double, per_blob array<struct<contrib:double>>, coverage double, sep_z double, gate_ref double, fidelity_haircut double"
+
+
+def promotion(s: P.State, cycle_id: str, stage: int, capacity: int, ids: DataFrame | None = None) -> DataFrame:
+    """(key, score, how) of the scorecards of a stage (1 to 3), promoted to the next.
+
+    Scores are by the function that the cycle has pinned, an error where it isn't deployed; the share for novelty is that of the live budget rule. ``ids`` (key, ids): the trades of
+    a scorecard's population, by its key's hash; a scorecard that isn't there has none.
+    """
+    if stage not in (1, 2, 3):
+        raise ValueError("promotion is from stage 1, 2 or 3; stage 0 is covered whole")
+    pin = s.cycles.where(F.col("cycle_id") == cycle_id).select("score_fn_version").first()
+    name = pin.score_fn_version if pin and pin.score_fn_version else "score_v1"
+    if name not in predicates.SCORES:
+        raise ValueError(f"cycle {cycle_id} pins score function {name}, of {sorted(predicates.SCORES)}")
+    live = s.rules.where("rule_kind = 'dial_budget_rule'").select(quota(s.rules).alias("q")).first()
+    m = s.scorecards.where(F.col("stage") == stage).select("key_hash", "lex", F.from_json("metrics", METRICS).alias("m")).select("key_hash", "lex", "m.*")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("net_pf_proxy", "coverage", "sep_z", "gate_ref")}
+    m = m.withColumns(zero | {"per_blob": F.coalesce(F.transform("per_blob", lambda b: F.coalesce(b["contrib"], F.lit(0.0))), F.array().cast("array<double>"))})
+    cards = m.select(F.col("key_hash").alias("key"), "lex", predicates.SCORES[name].build().alias("score"))
+    none = F.lit(None).cast("array<string>")
+    cards = cards.withColumn("ids", none) if ids is None else cards.join(ids.select("key", "ids"), "key", "left")
+    return ranking.promote(cards, capacity, live.q if live else 0.0, tie="lex")

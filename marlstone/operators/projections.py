@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.scalar import canonical, canonical_sha256
 from marlstone.operators.eventlog import first_of_each
 from marlstone.operators.placing import placed, running
+from marlstone.operators.ranking import lex_key
 from marlstone.scratch import Scratch
 
 WINDOWS = "array<struct<wiv_id:string,data_contract:string,start:string,end:string,role:string>>"
@@ -228,12 +229,17 @@ def populations(population_base: DataFrame, stamped: DataFrame, artifacts: DataF
     return out.select("artifact_id", "status", "causality_class", F.coalesce("_ok", F.lit(False)).alias("mutation_audit_pass"))
 
 
+EVAL_KEY = ["config_key", "cost_model_version", "featureset_hash", "geometry_ref", "key_scheme_version", "matrix_digest", "predicate_version", "scorer_version", "stage"]
+
+
 def scorecards(log: DataFrame) -> DataFrame:
-    """The evaluated map: the latest scorecard of each evaluation key, by the key's hash."""
-    rows = parsed(log, "scorecard.emit", "scorecard struct<eval_key:struct<config_key:string,stage:int>,payload_sha256:string,metrics:string>, cycle_id string")
-    key = log.where("type = 'scorecard.emit'").select("seq", canonical_sha256(F.get_json_object("payload", "$.scorecard.eval_key")).alias("key_hash"))
-    rows = rows.select("seq", "cycle_id", "scorecard.payload_sha256", "scorecard.eval_key.config_key", "scorecard.eval_key.stage", "scorecard.metrics").join(key, "seq")
-    return last_by(rows, "key_hash", "payload_sha256", "config_key", "stage", "cycle_id", "metrics")
+    """The evaluated map: the latest scorecard of each evaluation key, by the key's hash; ``lex`` orders keys by their fields' text."""
+    key = ",".join(f"{k}:{'int' if k == 'stage' else 'string'}" for k in EVAL_KEY)
+    rows = parsed(log, "scorecard.emit", f"scorecard struct<eval_key:struct<{key}>,payload_sha256:string,metrics:string>, cycle_id string")
+    hashes = log.where("type = 'scorecard.emit'").select("seq", canonical_sha256(F.get_json_object("payload", "$.scorecard.eval_key")).alias("key_hash"))
+    e = F.col("scorecard.eval_key")
+    rows = rows.select("seq", "cycle_id", "scorecard.payload_sha256", e["config_key"].alias("config_key"), e["stage"].alias("stage"), "scorecard.metrics", lex_key(*[e[k] for k in EVAL_KEY]).alias("lex")).join(hashes, "seq")
+    return last_by(rows, "key_hash", "payload_sha256", "config_key", "stage", "cycle_id", "metrics", "lex")
 
 
 @base(newest("windowset_id"))

@@ -39,26 +39,36 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def promote(cards: DataFrame, capacity: int, share: float) -> DataFrame:
-    """(key, score, how): the best ``capacity - int(capacity * share)`` by score, then the rest by least overlap with these, others parked.
+def promote(cards: DataFrame, capacity: int, share: float, tie: str = "key") -> DataFrame:
+    """(key, score, how): the best ``capacity - int(capacity * share)`` by score, then the rest by least overlap with these, others parked; equal scores by ``tie``.
 
     ``cards``: key, score, ids. Both cuts are limits on an ordering, so no window runs over all cards. Overlaps are counts of shared ids by a join; of the
-    promoted cards' ids, which may be many, none is gathered. Without ids on a card its place for novelty stays unfilled.
+    promoted cards' ids, which may be many, none is gathered. A card without ids overlaps with nothing, so it is among the first for novelty; only where no card at all has ids (all
+    null) do the places for novelty stay unfilled.
     """
     novel = int(capacity * share)
     run = Scratch(cards.sparkSession, "promote")
-    best = [F.col("score").desc_nulls_last(), F.col("key")]
-    top = run.table("top", cards.select("key", "score").orderBy(*best).limit(capacity - novel).select("key"))
-    ids = cards.select("key", F.explode(F.array_distinct("ids")).alias("_id"))
-    held = ids.join(F.broadcast(top), "key", "left_semi").select(F.col("key").alias("_top"), "_id")  # ``top`` has ``capacity`` keys at most
-    both = ids.join(F.broadcast(top), "key", "left_anti").join(held, "_id").groupBy("key", "_top").agg(F.count(F.lit(1)).alias("_both"))
-    sizes = cards.select("key", F.size(F.array_distinct("ids")).alias("_n"))
-    both = both.join(sizes, "key").join(F.broadcast(sizes.join(F.broadcast(top), "key", "left_semi").select(F.col("key").alias("_top"), F.col("_n").alias("_m"))), "_top")
-    most = both.groupBy("key").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_o"))
-    rest = cards.where(F.size("ids") > 0).select("key", "score").join(F.broadcast(top), "key", "left_anti")
-    fresh = rest.join(most, "key", "left").withColumn("overlap", F.coalesce("_o", F.lit(0.0))).orderBy("overlap", *best).limit(novel)
-    named = top.select("key", F.lit("score").alias("how")).unionByName(fresh.select("key", F.lit("novelty").alias("how")))
-    return cards.select("key", "score").join(F.broadcast(named), "key", "left").withColumn("how", F.coalesce("how", F.lit("parked")))
+    best = [F.col("score").desc_nulls_last(), F.col(tie)]
+    named = cards.select("key", "score", *([tie] if tie != "key" else []))
+    top = run.table("top", named.orderBy(*best).limit(capacity - novel).select("key"))
+    how = top.select("key", F.lit("score").alias("how"))
+    if novel and cards.where("ids IS NOT NULL").limit(1).count():
+        ids = cards.select("key", F.explode(F.array_distinct("ids")).alias("_id"))
+        held = ids.join(F.broadcast(top), "key", "left_semi").select(F.col("key").alias("_top"), "_id")  # ``top`` has ``capacity`` keys at most
+        both = ids.join(F.broadcast(top), "key", "left_anti").join(held, "_id").groupBy("key", "_top").agg(F.count(F.lit(1)).alias("_both"))
+        sizes = cards.select("key", F.size(F.array_distinct("ids")).alias("_n"))
+        both = both.join(sizes, "key").join(F.broadcast(sizes.join(F.broadcast(top), "key", "left_semi").select(F.col("key").alias("_top"), F.col("_n").alias("_m"))), "_top")
+        most = both.groupBy("key").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_o"))
+        rest = named.join(F.broadcast(top), "key", "left_anti")
+        fresh = rest.join(most, "key", "left").withColumn("overlap", F.coalesce("_o", F.lit(0.0))).orderBy("overlap", *best).limit(novel)
+        how = how.unionByName(fresh.select("key", F.lit("novelty").alias("how")))
+    return cards.select("key", "score").join(F.broadcast(how), "key", "left").withColumn("how", F.coalesce("how", F.lit("parked")))
+
+
+def cut_score(promoted: DataFrame) -> float | None:
+    """The score of the last card that was promoted by score, or else of the first for novelty; None without any."""
+    last = promoted.where("how = 'score'").agg(F.min("score")).first()[0]
+    return last if last is not None else promoted.where("how = 'novelty'").agg(F.max("score")).first()[0]
 
 
 def best_by_rank(rows: DataFrame, by: list[str], ranks: dict[str, int], what: str, order: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The log as a whole, on a small one, against plain Python."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -141,7 +142,7 @@ def test_converters(spark):
     assert ws.v.error is None and json.loads(ws.payload)["windows"][0]["wiv_id"].startswith("wiv_")
     pc = {"windows": {"names": [], "starts": [], "ends": []}, "exclusions": [], "embargo": {}, "min_window_side": 1, "fit": {}, "search_space": {}, "null": {}, "select": {"sel_pf": 1.3, "sel_min_tr": 30, "knn_k": 11}, "budget": {"trials_soft": 200, "seed_soft": 40, "runs_per_k": 5}, "_provenance": {"source_sha256": "s"}}
     j = converters.search_job(pc, {"population_parquet": "p"}, "sell", "z", "r", featureset=["a", "b"])
-    assert j["K_values"] == [2, 3, 4, 5, 6, 7, 8, 9] and j["featureset"]["mode"] == "seats" and len(j["job_hash"]) == 64
+    assert j["K_values"] == [2, 3, 4, 5, 6, 7, 8, 9] and j["featureset"]["mode"] == "seats" and j["job_hash"] == hashlib.sha256(json.dumps({k: v for k, v in j.items() if k != "job_hash"}, sort_keys=True).encode()).hexdigest()[:12]
     assert converters.readout_job(pc, {"population_parquet": "p"}, {"K": 2}, "t", "r")["select"]["knn_k"] == 11
 
 

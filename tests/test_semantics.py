@@ -70,6 +70,13 @@ def test_promotion(spark):
     assert how(4, 0.5) == {"g": "score", "a": "score", "d": "novelty", "b": "novelty", "c": "parked", "e": "parked", "f": "parked"}
     assert set(how(0, 0.5).values()) == {"parked"}
     assert how(3, 0.0) == {"g": "score", "a": "score", "b": "score", "c": "parked", "d": "parked", "e": "parked", "f": "parked"}
+    few = spark.createDataFrame([("a", 5.0, [1, 2]), ("b", 4.0, [2, 3]), ("c", 3.0, [])], "key string, score double, ids array<int>")
+    how = lambda df: {r.key: r.how for r in ranking.promote(df, 2, 0.5).collect()}
+    assert how(few) == {"a": "score", "c": "novelty", "b": "parked"}  # no ids, no overlap
+    assert how(few.withColumn("ids", F.when(F.col("key") != "c", F.col("ids")))) == {"a": "score", "c": "novelty", "b": "parked"}
+    none = few.withColumn("ids", F.lit(None).cast("array<int>"))
+    assert how(none) == {"a": "score", "b": "parked", "c": "parked"}  # nobody has ids
+    assert ranking.cut_score(ranking.promote(few, 2, 0.5)) == 5.0 and ranking.cut_score(ranking.promote(few, 1, 1.0)) == 5.0
     empty = spark.range(1).select(ranking.jaccard(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("j"))
     assert empty.first().j == 0.0
 

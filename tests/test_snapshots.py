@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import eventlog, ledger
+from marlstone.operators import ledger
 from marlstone.operators import projections as P
-from tests.test_ledger import BLOCK, BUDGET, REQUEST, SET, STEPS, draft, logged, rows
+from tests.test_ledger import BLOCK, REQUEST, SET, STEPS, draft, logged, rows
 
 NAMES = ["lineages", "blocks", "batches", "stamps", "populations", "windowsets", "readouts", "spends", "incumbents", "conditionals", "artifacts", "placebo_history", "tip"]
 
@@ -175,3 +175,48 @@ def test_inbox_in_order_of_names(spark, tmp_path):
     live, cold = log.state(), log.state(cold=True)
     names = ("features", "blocks", "lineages", "families", "tip")
     assert P.state_hash({n: getattr(live, n) for n in names}) == P.state_hash({n: getattr(cold, n) for n in names})
+
+
+def test_promotion_over_the_state(spark):
+    key = {"key_scheme_version": "1", "matrix_digest": "m", "featureset_hash": "f", "scorer_version": "s", "predicate_version": "1", "cost_model_version": "c"}
+    card = lambda i, stage, **m: draft(f"s{i}{stage}", "scorecard.emit", "scheduler:daemon", cycle_id="y1", scorecard={"scorecard_id": f"sc{i}", "eval_key": {**key, "config_key": f"k{i}", "stage": stage}, "metrics": {"stage": stage, **m}, "payload_sha256": "x"})
+    rule = [draft("p1", "rules.propose", rule_kind="dial_budget_rule", proposed={"novelty_quota_share": 0.5}), draft("p2", "rules.adopt", proposal_ref="p1", rule_kind="dial_budget_rule", adopted_version="2")]
+    cards = [card(i, 1, net_pf_proxy=float(9 - i)) for i in range(5)] + [card(9, 3, sep_z=2.0, gate_ref=0.5), card(8, 3, sep_z=1.5)]
+    s = P.State(events_of(spark, [draft("o1", "cycle.open", "scheduler:daemon", cycle_id="y1", score_fn_version="score_v1"), *rule, *cards]))
+    hashes = {r.config_key: r.key_hash for r in s.scorecards.collect()}
+    ids = spark.createDataFrame([(hashes["k0"], ["1", "2"]), (hashes["k1"], ["1", "3"]), (hashes["k2"], ["1", "2"])], "key string, ids array<string>")
+    how = lambda *a: {r.key: (r.score, r.how) for r in ledger.promotion(s, "y1", *a).collect()}
+    got = how(1, 2, ids)
+    assert {k: got[hashes[k]] for k in ("k0", "k1", "k2", "k3", "k4")} == {"k0": (9.0, "score"), "k1": (8.0, "parked"), "k2": (7.0, "parked"), "k3": (6.0, "novelty"), "k4": (5.0, "parked")}
+    assert sorted(how(3, 1).values()) == [(1.5, "parked"), (1.5, "score")]  # equal scores by the key's text: k8 before k9
+    assert how(3, 1)[hashes["k8"]][1] == "score" and how(2, 4) == {}
+    with pytest.raises(ValueError, match="stage"):
+        how(4, 1)
+    old = P.State(events_of(spark, [draft("o1", "cycle.open", "scheduler:daemon", cycle_id="y1", score_fn_version="score_v0")]))
+    with pytest.raises(ValueError, match="score_v0"):
+        ledger.promotion(old, "y1", 1, 1)
+
+
+def test_constants_file_by_tokens():
+    import hashlib
+
+    from marlstone.operators import assignments
+
+    text = "function PC = f()\n PC.a = -3; PC.not_at_a_line_start = 1;\nPC.b = 2e-3;  % why\nPC.v = [1 -2, +3.5];\nPC.w = [1, 2-1];\nPC.open = 4\nPC.t = 'x;y';\nPC.e = PC.a + 1;\n"
+    rows = text + "PC.windows = { 'W1', '2020-01-01', '2020-02-01', 'held; backward' ; ... % first\n  'X', '2021-01-01', '2021-02-01' };\nPC.window_exclusions = {'2020-01-05', ...\n '2020-01-06'; 'a', 'b'}; % gap\n"
+    doc = assignments.read(rows)
+    assert doc["scalars"] == {"a": -3, "b": 0.002, "v": [1.0, -2.0, 3.5], "t": "x;y"}
+    assert doc["unparsed"] == ["PC.w = [1, 2-1];", "PC.open = 4", "PC.e = PC.a + 1;"]
+    assert [(w["name"], w["role"]) for w in doc["windows"]] == [("W1", "backward_only"), ("X", "middle")]
+    assert doc["exclusions"] == [{"range": ["2020-01-05", "2020-01-06"], "rationale": "gap"}, {"range": ["a", "b"], "rationale": "gap"}]
+    named = assignments.read("PC.windows.W4.start = '2020-01-01';\nPC.windows.W4.end = '2020-02-01';\nPC.windows.W2.start = '2020-01-01';\nPC.embargo_right_days = 55;\n")
+    assert named["windows"] == [{"name": "W4", "start": "2020-01-01", "end": "2020-02-01", "role": "forward_certifier"}] and named["embargo"] == {"left_days": 0, "right_days": 55}
+    for bad, why in (("PC.a = 1;\n", "no windows"), ("PC.windows = {'W1', 'soon', '2020-02-01', ''};\n", "no dates")):
+        with pytest.raises(ValueError, match=why):
+            assignments.read(bad)
+    data = rows.encode()
+    pin = hashlib.sha256(data).hexdigest()
+    assert assignments.read_pinned(data, pin)["precommit_sha256"] == pin
+    for p in (None, "", "0" * 64):
+        with pytest.raises(ValueError, match="pinned"):
+            assignments.read_pinned(data, p)
