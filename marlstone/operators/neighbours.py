@@ -94,14 +94,19 @@ def _look(blocks: DataFrame, asked: DataFrame, k: int, chunks: int, kind: str) -
                 ids = np.array([r["id"] for r in rows], np.int64)
                 labels = [r["label"] for r in rows]
                 x = np.array([r["v"] for r in rows], float)
-                out = []
-                for q in queries:
-                    diff = x - np.asarray(q["q"], float)
+                out, own = [], np.array([q["qid"] for q in queries], np.int64)
+                v = np.array([q["q"] for q in queries], float)
+                xx, vv = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", v, v)
+                about = xx[None, :] + vv[:, None] - 2 * (v @ x.T)  # one product; what may be near by it is then measured exactly
+                about[own[:, None] == ids[None, :]] = np.inf
+                slack = 1e-9 * (1 + vv + xx.max())
+                last = np.partition(about, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                for i, q in enumerate(own):
+                    near = np.flatnonzero((about[i] <= last[i] + slack[i]) & (ids != q))
+                    diff = x[near] - v[i]
                     d = np.round(np.einsum("ij,ij->i", diff, diff), DIGITS)
-                    d[ids == q["qid"]] = np.inf
-                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                    near = near[np.lexsort((ids[near], d[near]))][:k]
-                    out.append((q["qid"], [{"d": float(d[i]), "id": int(ids[i]), "label": labels[i]} for i in near if np.isfinite(d[i])], len(d)))
+                    best = np.lexsort((ids[near], d))[:k]
+                    out.append((q, [{"d": float(d[j]), "id": int(ids[near[j]]), "label": labels[near[j]]} for j in best], len(x)))
                 yield pd.DataFrame(out, columns=["qid", "best", "compared"])
 
     return blocks.join(packed, "block").select("rows", "queries").mapInPandas(run, f"qid long, best array<struct<d:double,id:bigint,label:{kind}>>, compared long")
