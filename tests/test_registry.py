@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlstone.plans import folds, governance, ledgers, registry, views  # noqa: F401
+from marlstone.plans import folds, governance, ledgers, readouts, registry, views  # noqa: F401
 from tests import oracle
 
 
