@@ -124,3 +124,13 @@ def changed_since(rows: DataFrame, by: str, order: str, col: str) -> DataFrame:
     """Rows whose value differs from the one before of their group."""
     w = Window.partitionBy(by).orderBy(order)
     return rows.withColumn("_b", F.lag(col).over(w)).where(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(F.col(col))).drop("_b")
+
+
+def environment_hash() -> str:
+    """Hash of the installed distributions, the Python and the platform that results were made with."""
+    import platform
+    import sys
+    from importlib import metadata
+
+    installed = sorted({f"{d.metadata['Name']}=={d.version}" for d in metadata.distributions()})
+    return hashlib.sha256(canonical({"freeze": installed, "python": sys.version, "platform": platform.platform()})).hexdigest()

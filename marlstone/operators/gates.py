@@ -28,6 +28,14 @@ def twin_verdict(real: DataFrame, twins: DataFrame, by: str, at: int = 4) -> Dat
     return out.withColumn("verdict", F.when(F.col("beats") >= at, "LEAKY").otherwise("CLEAN"))
 
 
+def battery(runs: DataFrame, by: str, order: str, at: int = 4) -> DataFrame:
+    """(by, verdict, n_run, passes) of twins (by, order, beats) that are run in order until ``at`` of them have passed: then LEAKY, and later ones don't count; else SILENT. Twins of a group are few."""
+    upto = F.sum(F.col("beats").cast("int")).over(Window.partitionBy(by).orderBy(order))
+    run = runs.withColumn("_k", F.coalesce(upto, F.lit(0))).where((F.col("_k") < at) | ((F.col("_k") == at) & F.col("beats")))
+    out = run.groupBy(by).agg(F.count(F.lit(1)).alias("n_run"), F.count_if("beats").alias("passes"))
+    return out.select(by, F.when(F.col("passes") >= at, "LEAKY").otherwise("SILENT").alias("verdict"), "n_run", "passes")
+
+
 def null_of_max(nulls: DataFrame) -> DataFrame:
     """(shuffle, z): the greatest of all configs' standardised null scores; deviation is the sample's, 1e-12 at least. ``nulls``: config, shuffle, x."""
     stats = nulls.groupBy("config").agg(F.avg("x").alias("_m"), F.greatest(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), F.lit(1e-12)).alias("_s"))

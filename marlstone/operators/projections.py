@@ -173,6 +173,12 @@ def blocks(block_base: DataFrame) -> DataFrame:
     return block_base.select("block_id", "family_id", "featureset_hash", "population_ref", "arms", F.col("null_spec.shift_vector_sha256").alias("frozen_null"), F.coalesce("frozen", no).alias("frozen"), F.coalesce("closed", no).alias("closed"), F.col("superseded_by.v").alias("superseded_by"), F.col("declared_width.v").alias("declared_width"), (granted - F.coalesce("planned", F.lit(0))).alias("budget_remaining"))
 
 
+def stage0(blocks: DataFrame) -> DataFrame:
+    """(config_key) that the real arms of frozen blocks, which aren't closed, have in their lists, each once."""
+    arm = blocks.where("frozen AND NOT closed").select(F.explode("arms").alias("a")).where("a.role = 'real'")
+    return arm.select(F.explode("a.config_keys").alias("config_key")).distinct()
+
+
 def kill_list(log: DataFrame) -> DataFrame:
     return parsed(log, "block.kill_axis", "axis string, rationale string").select("seq", "axis", "rationale")
 

@@ -197,3 +197,13 @@ def stage0_enumerate(spark: SparkSession, d: str) -> DataFrame:
 def rollup_view(spark: SparkSession, d: str) -> DataFrame:
     users = F.count_distinct("user_id")
     return tables.table(spark, d, "events").rollup(F.col("event_type").alias("series")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value") - F.min("value"), 6).alias("spread"), users.alias("n_users"))
+
+
+BATTERY = "SELECT user_id AS pop, event_id AS twin, value > 40 AS beats FROM events WHERE user_id % 3 = 0"
+
+
+@query(f"WITH t AS ({BATTERY}), c AS (SELECT *, sum(beats::INTEGER) OVER (PARTITION BY pop ORDER BY twin) AS k FROM t), r AS (SELECT * FROM c WHERE k < 4 OR (k = 4 AND beats)) SELECT pop, CASE WHEN count(*) FILTER (WHERE beats) >= 4 THEN 'LEAKY' ELSE 'SILENT' END AS verdict, count(*)::BIGINT AS n_run, count(*) FILTER (WHERE beats)::BIGINT AS passes FROM r GROUP BY pop")
+def battery_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Batteries of twins that stop at the fourth pass."""
+    e = tables.table(spark, d, "events").where("user_id % 3 = 0")
+    return gates.battery(e.select(F.col("user_id").alias("pop"), F.col("event_id").alias("twin"), (F.col("value") > 40).alias("beats")), "pop", "twin")

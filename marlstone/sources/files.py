@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -54,3 +55,30 @@ class Folder:
         if self.has(name):
             self.fs.delete(self.at(name), False)
         self.move(temp, name)
+
+
+def cas_put(folder: Folder, data: bytes) -> str:
+    """Store bytes under their sha256 and return it; what is there already stays."""
+    sha = hashlib.sha256(data).hexdigest()
+    if not folder.has(f"{sha[:2]}/{sha}"):
+        folder.put(f"{sha[:2]}/{sha}", data)
+    return sha
+
+
+def cas_get(folder: Folder, sha: str) -> bytes:
+    """The bytes of a hash; an error where they aren't there or aren't those."""
+    name = f"{sha[:2]}/{sha}"
+    if not folder.has(name):
+        raise FileNotFoundError(f"nothing is stored under {sha}")
+    data = folder.read(name)
+    if hashlib.sha256(data).hexdigest() != sha:
+        raise ValueError(f"the bytes stored under {sha} have another hash")
+    return data
+
+
+def submit(folder: Folder, name: str, doc: dict) -> str:
+    """Write a draft's canonical JSON to ``staging`` and rename it to ``pending``, so that who follows that never sees half of it. A pending draft of that name is replaced."""
+    from marlstone.functions.scalar import canonical
+
+    folder.put(f"pending/{name}.json", canonical(doc), staging="staging")
+    return f"{folder.path}/pending/{name}.json"

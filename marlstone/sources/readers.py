@@ -135,3 +135,23 @@ def checked(doc: DataFrame, required: dict[str, Column]) -> DataFrame:
     for name, ok in required.items():
         out = out.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(f"contract: {name}")).cast("boolean")))
     return out
+
+
+def with_daily(monthly: DataFrame, daily: DataFrame) -> DataFrame:
+    """Bars of monthly files and, of months that no monthly file has a bar of, those of daily ones; days that are missing there leave a gap. ``canonical_bars`` refuses a month with neither."""
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month")
+    there = monthly.select(month("ts").alias("_m")).distinct()
+    return monthly.unionByName(daily.join(F.broadcast(there), month("ts") == F.col("_m"), "left_anti"))  # a row a month
+
+
+def resampled(bars: DataFrame, width: str) -> DataFrame:
+    """OHLC bars (ts, open, high, low, close) of ``width``, by their first and last values in time; intervals without a bar, or with a missing price, are left out."""
+    value = lambda f, c: f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("ts")))
+    out = bars.groupBy(F.window("ts", width)["start"].alias("_t")).agg(value(F.min_by, "open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), value(F.max_by, "close").alias("close"))
+    return out.withColumnRenamed("_t", "ts").dropna()
+
+
+def price_bars(spark: SparkSession, path: str, width: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signal bars, all bars) of a file or folder: Parquet by its suffix, else headerless CSV; signal bars are resampled to ``width``, where one is told."""
+    raw = (bars_parquet(spark, path) if path.rstrip("/").endswith(".parquet") else mt3_csv(spark, path)).select("ts", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")])
+    return (resampled(raw, width) if width else raw), raw
