@@ -11,8 +11,8 @@ from marlstone.plans.registry import query
 from marlstone.sources.tables import table
 
 DEALS = """RECURSIVE ins AS (SELECT o_custkey % 3 AS side, o_orderkey AS deal, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O'),
-outs AS (SELECT o_custkey % 3 AS side, o_orderkey AS deal, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus <> 'O'),
-least AS (SELECT ins.side, ins.k, ins.deal, count(outs.deal) + 1 AS first FROM ins LEFT JOIN outs ON outs.side = ins.side AND outs.deal <= ins.deal GROUP BY ALL),
+outs AS MATERIALIZED (SELECT o_custkey % 3 AS side, o_orderkey AS deal, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus <> 'O'),
+least AS MATERIALIZED (SELECT ins.side, ins.k, ins.deal, count(outs.deal) + 1 AS first FROM ins LEFT JOIN outs ON outs.side = ins.side AND outs.deal <= ins.deal GROUP BY ALL),
 w AS (SELECT DISTINCT side, 0::BIGINT AS k, 0::BIGINT AS deal, 0::BIGINT AS i FROM ins UNION ALL SELECT l.side, l.k, l.deal, greatest(w.i + 1, l.first) FROM w JOIN least l ON l.side = w.side AND l.k = w.k + 1)"""
 
 
