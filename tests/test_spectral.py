@@ -29,7 +29,7 @@ def dense(x, p):
 def blobs():
     rng = np.random.default_rng(5)
     centres = np.array([[0, 0, 0], [6, 0, 0], [0, 6, 1]])
-    return np.concatenate([rng.normal(size=(n, 3)) * 0.9 + c for n, c in zip((40, 30, 20), centres)])
+    return np.concatenate([rng.normal(size=(n, 3)) * 0.9 + c for n, c in zip((60, 50, 40), centres)])
 
 
 def rows_of(spark, x):
@@ -50,19 +50,19 @@ def test_eigenvectors_and_groups(spark, blobs):
     _, s = dense(blobs, p)
     values, vectors = np.linalg.eigh(s)
     rows, run = rows_of(spark, blobs), Scratch(spark, "test")
-    got, x = spectral.eigenvectors(spectral.graph(rows, p, run), rows.select("id"), 4, 1, run, rounds=30)
+    got, x = spectral.eigenvectors(spectral.graph(rows, p, run), rows.select("id"), 4, 1, run)
     assert np.allclose(got, values[::-1][:4], atol=1e-6)
     v = np.zeros((len(blobs), 4))
     for r in x.collect():
         v[r.id] = r.x
     assert np.allclose(np.linalg.svd(v.T @ vectors[:, ::-1][:, :3], compute_uv=False), 1, atol=1e-4)  # one subspace
-    a = spectral.fit(rows, p, 3, reps=2, n_floor=5, rounds=8)
-    b = spectral.fit(rows.repartition(3), p, 3, reps=2, n_floor=5, rounds=8)
+    a = spectral.fit(rows, p, 3, n_floor=5)
+    b = spectral.fit(rows.repartition(3), p, 3, n_floor=5)
     assert spectral.same_estimate(a, b) == (len(blobs), 0)
     group = {r.id: r.group for r in a.collect()}
-    truth = [0] * 40 + [1] * 30 + [2] * 20
+    truth = [0] * 60 + [1] * 50 + [2] * 40
     agree = sum(max(sum(group[i] == g for i in range(len(truth)) if truth[i] == t) for g in (1, 2, 3)) for t in range(3))
-    assert agree >= 0.95 * len(truth) and {group[0], group[50], group[80]} == {1, 2, 3}
+    assert agree >= 0.95 * len(truth) and {group[0], group[70], group[140]} == {1, 2, 3}
     with pytest.raises(ValueError, match="one estimator"):
         spectral.same_estimate(a, a.withColumn("group", F.lit(9)))
 
