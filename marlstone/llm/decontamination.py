@@ -204,6 +204,6 @@ def clean(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRE
     """
     # Rows are told apart by id and text, both ways round, as one string that no other row has.
     name = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), F.col("text"))))
-    rows = docs.withColumn("_row", name)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("doc"), "text", name.alias("_row"))
     hit = search(rows.select(F.col("_row").alias("doc_id"), "text"), items, n, threshold).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+    return rows.join(hit, "_row", "left_anti").select("doc.*")

@@ -300,6 +300,8 @@ def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = _classes(docs, threshold)
     empty = found.where("wordless").select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).distinct()
     found = found.where("NOT wordless").groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.hash").alias("_h"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
-    return rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).unionByName(rows.join(empty, same, "left_semi")).drop("_hash")
+    # A row travels as one column, so that none of its own can be taken for one of this operator.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
+    kept = rows.join(found, same, "left_semi").dropDuplicates(["_id", "_hash"]).unionByName(rows.join(empty, same, "left_semi"))
+    return kept.select("doc.*")

@@ -6,8 +6,9 @@ corpus: pointwise mutual information of term and entity over the entity's own in
 
     disclosure = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e)),
 
-with N the number of different texts, n(t) and n(e) of those with the term or entity, n(t, e) of those with both, wherever they stand. It is 1 where the term occurs with the entity only. Terms above
-``REMOVE`` are removed, terms above ``GENERALISE`` give way to a class, at every place in the entity's texts. Copies of a text count once.
+with N the number of different texts, n(t) and n(e) of those with the term or entity, n(t, e) of those with both, wherever they stand. It is 1 where the term occurs with the entity only. Terms from
+``REMOVE`` on are removed, terms from ``GENERALISE`` on give way to a class, at every place in every text, whether it holds the entity or not: the term alone tells of it. Copies of a text count once.
+Terms are runs of letters and digits outside entities.
 
 Positions are code points. Spark has no function for the positions of all matches, but a text split at a pattern gives the
 pieces between its matches, and their lengths add up to the positions.
@@ -32,26 +33,79 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
-#: Up to 100 terms with what follows them: positions are added up in parts, as a sum over n pieces takes n ** 2 steps.
-PART = r"(?:[\p{L}\p{N}]++[^\p{L}\p{N}]*+){1,100}+|[^\p{L}\p{N}]++"
+RUN = 256
 SUPPORT = 3  # different texts
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<start:int,k:int,end:int,hit:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before(values: Column, op) -> Column:
+    """What the associative ``op`` (of 0 and ints) makes of all ``values`` before each one.
+
+    An array that grows by one copies itself, so blocks of ``RUN`` values are summed up first and then gone through: n ints take about n * (RUN + n / RUN**2) steps.
+    """
+
+    def through(xs, first):
+        zero = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def blocks(xs):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, F.lit(RUN)))
+
+    def composed(runs):
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), op))
+        return F.flatten(F.zip_with(runs, through(sums, F.lit(0)), through))
+
+    return let(values, lambda xs: F.when(F.size(xs) > 0, let(blocks(xs), composed)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(start, end, hit) of all matches, leftmost first and not overlapping."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p)).alias("gap"), hits.alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
+    pairs = F.zip_with(F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p)), hits, lambda g, h: F.struct(g.alias("gap"), F.coalesce(F.char_length(h), F.lit(0)).alias("size"), h.alias("hit")))
+
+    def placed(xs):
+        at = before(F.transform(xs, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        return F.zip_with(xs, at, lambda x, a: F.struct((a + x["gap"]).alias("start"), (a + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit")))
+
+    return F.filter(let(pairs, placed), lambda m: m["hit"].isNotNull())
+
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with each of ``spans`` (start, end and more, by start) replaced by ``by`` of the span and the end of those before it.
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    A place is looked up in blocks of 1024 code points, as ``substring`` counts from a text's start.
+    """
+
+    def block(blocks, k):
+        return F.coalesce(F.get(blocks, k), F.lit(""))
+
+    def piece(blocks, low, high):
+        i, j, a, b = F.shiftright(low, 10), F.shiftright(high, 10), low.bitwiseAND(1023), high.bitwiseAND(1023)
+        middle = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        apart = F.concat(F.substring(block(blocks, i), a + 1, F.lit(1024)), middle, F.substring(block(blocks, j), F.lit(1), b))
+        return F.when(high <= low, "").when(i == j, F.substring(block(blocks, i), a + 1, high - low)).otherwise(apart)
+
+    def made(blocks):
+        ends = F.transform(spans, lambda s: s["end"])
+        parts = F.zip_with(spans, before(ends, lambda a, b: F.greatest(a, b)), lambda s, p: F.concat(piece(blocks, p, s["start"]), by(s, p)))
+        return F.concat(F.array_join(parts, ""), piece(blocks, F.coalesce(F.array_max(ends), F.lit(0)), F.char_length(text)))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,1024}"), F.lit(0)), made)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces for what the spans cover; other places stay where they are."""
+    return replaced(text, spans, lambda s, p: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(p, s["start"]))))
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
 def luhn(digits: Column) -> Column:
@@ -112,39 +166,34 @@ def entity(kind: Column, hit: Column) -> Column:
 
 
 def find(docs: DataFrame, run: Scratch, keep: list[str], support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """The columns ``keep`` of ``docs``, then ``spans`` (of the base kinds) and ``terms``: spans of revealing terms with their ``disclosure``.
+    """The columns ``keep`` of ``docs``, then ``spans`` (of the base kinds) and ``terms``: spans of revealing terms with their ``disclosure``, in every text that holds them.
 
     Every row has a result: repeated rows and null ids too; null and empty texts have no spans.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*keep, F.xxhash64(text).alias("_text"), text.alias("_t")).withColumn("spans", base_spans(F.col("_t")))
-    rows = rows.withColumn("_t", F.when(F.size("spans") > 0, F.col("_t")))
+    rows = docs.select(*dict.fromkeys([*keep, "text"]), F.xxhash64(text).alias("_text"), base_spans(text).alias("spans"))
+    rows = rows.withColumn("_m", F.when(F.size("spans") > 0, masked(text, F.col("spans"))))
     rows = run.table("base", rows.withColumn("_row", F.monotonically_increasing_id()))
-    held = rows.where(F.size("spans") > 0).select("_row", "_text", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["k"], s["hit"])))).alias("entity"))
+    plain = F.coalesce("_m", "text", F.lit(""))
+    held = rows.where(F.size("spans") > 0).select("_text", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["k"], s["hit"])))).alias("entity")).distinct()
     # No term is in more texts with an entity than the entity itself.
-    n_e = run.table("entities", held.select("entity", "_text").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support))
-    held = run.table("held", held.join(n_e, "entity").select("_row", "_text", "entity"))
-    by_text = held.select("_text", "entity").distinct()
-    said = rows.join(held.select("_row").distinct(), "_row", "left_semi").select("_row", "_text", "spans", F.explode(matches(F.col("_t"), PART)).alias("p"))
-    said = said.select("_row", "_text", "spans", F.col("p.start").alias("low"), F.explode(matches(F.col("p.hit"), TERM)).alias("m"))
-    said = said.withColumn("start", F.col("low") + F.col("m.start")).withColumn("end", F.col("low") + F.col("m.end"))
-    # Parts of entities are no terms.
-    apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    said = run.table("said", said.where(apart).select("_row", "_text", F.lower("m.hit").alias("term"), "start", "end"))
-    n_te = said.select("_text", "term").distinct().join(by_text, "_text").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    n_e = run.table("entities", held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support))
+    held = run.table("held", held.join(n_e, "entity").select("_text", "entity"))
+    said = rows.join(held.select("_text").distinct(), "_text", "left_semi").select("_text", F.explode(terms_of(plain)).alias("term")).distinct()
+    n_te = said.join(held, "_text").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     n_te = run.table("together", n_te)
-    none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,disclosure:double>>)")
-    if not n_te.limit(1).count():
-        return rows.select(*keep, "spans", none.alias("terms"))
-    words = docs.select(F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = rows.select("_text", F.explode(terms_of(plain)).alias("term"))
     n_t = words.join(n_te.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = rows.select("_text").distinct().count()
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    flagged = n_te.join(n_e, "entity").join(n_t, "term").where(info > 0).select("entity", "term", (told / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    told_by = by_text.join(flagged, "entity").groupBy("_text", "term").agg(F.max("disclosure").alias("disclosure"))
-    terms = said.join(told_by, ["_text", "term"]).select("_row", "start", "end", "disclosure")
-    terms = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", "disclosure"))).alias("_terms"))
+    flagged = n_te.join(n_e, "entity").join(n_t, "term").where(info > 0).select("term", (told / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    flagged = run.table("flagged", flagged.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    hold = run.table("hold", rows.select("_row", F.explode(terms_of(plain)).alias("term")).join(flagged, "term"))
+    places = rows.join(hold.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(matches(plain, TERM)).alias("m"))
+    terms = places.select("_row", F.lower("m.hit").alias("term"), "m.start", "m.end").join(hold, ["_row", "term"])
+    terms = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", "disclosure", F.col("term").rlike("^[0-9]+$").alias("number")))).alias("_terms"))
+    none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,disclosure:double,number:boolean>>)")
     return rows.join(terms, "_row", "left").select(*keep, "spans", F.coalesce("_terms", none).alias("terms"))
 
 
@@ -162,23 +211,13 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
 
     Entities become ``[EMAIL]`` and so on; terms become ``[NUMBER]`` or ``[TERM]``, or nothing if their disclosure is ``remove`` or more.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("spans", "terms")]
-    found = find(docs, Scratch(docs.sparkSession, "privacy"), kept)
+    # Other columns travel as one, so that none can be taken for a column of this operator.
+    doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"] or [F.lit(0).alias("none")])
+    found = find(docs.select("text", doc.alias("doc")), Scratch(docs.sparkSession, "privacy"), ["text", "doc"])
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(label(s["k"])), F.lit("]")).alias("by")))
-
-    def by(s):
-        digits = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).rlike("^[0-9]+$")
-        return F.when(s["disclosure"] >= remove, "").when(digits, "[NUMBER]").otherwise("[TERM]")
-
-    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        """Spans that begin inside the last one add no replacement, but what they cover goes."""
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["by"])).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    text = F.aggregate(F.sort_array(F.concat(base, terms)), zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    word = lambda s: F.when(s["disclosure"] >= remove, "").when(s["number"], "[NUMBER]").otherwise("[TERM]")
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), word(s).alias("by")))
+    # A span that begins inside another adds no replacement, but what it covers goes.
+    text = replaced(F.col("text"), F.sort_array(F.concat(base, terms)), lambda s, p: F.when(s["start"] >= p, s["by"]).otherwise(""))
     text = F.when(F.size("spans") + F.size("terms") > 0, text).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*kept)
+    return found.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from marlstone.scratch import shared_dir
 from tests.llm.test_decontamination import brute
@@ -35,3 +37,20 @@ def test_stages_take_effect(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_clashing_columns_and_edges_stay(spark, sf):
+    """Columns named like those of the operators come back as they were, for repeated, null, empty and very long rows, and for an empty table."""
+    extra = ["_hash", "_row", "spans", "terms", "hash", "_d", "_text", "doc", "_id", "size", "root"]
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, "one two three four five six a@b.cc"), (1, "one two three four five six a@b.cc"), (2, None), (None, ""), (None, "seven words of a null id stand here"), (3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for i, c in enumerate(extra):
+        df = df.withColumn(c, F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    stage = dict(corpus_pipeline.STAGES)
+    for name, n in [("near_dedup", 5), ("decontamination", 6), ("pii", 6)]:
+        got = stage[name](spark, df, sf)
+        assert got.columns == df.columns
+        found = got.collect()
+        assert len(found) == n and all(r[c] == f"{i}-{'none' if r.doc_id is None else r.doc_id}" for r in found for i, c in enumerate(extra))
+        assert stage[name](spark, df.limit(0), sf).count() == 0
