@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import lookups, neighbours
+from marlstone.operators import energy, lookups, neighbours
 from marlstone.operators import projections as P
 from marlstone.plans.registry import query
 from marlstone.sources.tables import table
@@ -90,3 +90,13 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(rows.where("id % 20 = 0").select("id", "v"), rows, 5).withColumn("voted", neighbours.vote(F.col("best")))
     near = near.select(F.col("id").alias("vec_id"), "voted", F.posexplode("best").alias("i", "b"))
     return near.select("vec_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("b.id").alias("neighbour"), F.round("b.d", 6).alias("d"), "voted")
+
+
+@query("""WITH v AS (SELECT label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = 64),
+s AS (SELECT x.label AS a, y.label AS b, sum(sqrt(list_sum([(x.v[i] - y.v[i]) * (x.v[i] - y.v[i]) FOR i IN range(1, 65)]))) AS s, count(*) AS n FROM v x, v y WHERE x.label <= y.label GROUP BY ALL),
+m AS (SELECT a, b, s / n AS m FROM s), c AS (SELECT label, count(*) AS n FROM v GROUP BY label)
+SELECT m.a::VARCHAR AS a, m.b::VARCHAR AS b, p.n AS n_a, q.n AS n_b, round(2 * m.m - x.m - y.m, 6) AS distance FROM m JOIN m x ON x.a = m.a AND x.b = m.a JOIN m y ON y.a = m.b AND y.b = m.b JOIN c p ON p.label = m.a JOIN c q ON q.label = m.b WHERE m.a < m.b""")
+def label_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Energy distances between the vectors of each two labels."""
+    points = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("population_ref"), F.col("embedding").cast("array<double>").alias("v"))
+    return energy.energy_distances(points, 64).withColumn("distance", F.round("distance", 6))

@@ -221,18 +221,28 @@ def admission_stage_dispatch(spark, d):
     return _codes(_rows(spark, d), "stage.dispatch", doc, "scheduler:daemon", scorecards=_evaluated(_objects(spark, d)), open_cycle=_open(spark))
 
 
-@query("SELECT event_id, 'ORDER_VIOLATION' AS code FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ORDER_VIOLATION' ELSE 'ACCEPTED' END AS code FROM events")
 def admission_cycle_open(spark, d):
+    """Drafts of even ids meet a state with an open cycle, the others one without."""
     doc = _doc(cycle_id=_name("z", "r"), dial_budget_rule_version="1", score_fn_version="1", promotion_predicate_version="1", cost_model_version="1")
-    return _codes(_rows(spark, d), "cycle.open", doc, "scheduler:daemon", open_cycle=_open(spark))
+    rows = _rows(spark, d)
+    at = lambda odd: _codes(rows.where(F.col("event_id") % 2 == odd), "cycle.open", doc, "scheduler:daemon", open_cycle=_open(spark).where(F.lit(not odd)))
+    return at(0).unionByName(at(1))
 
 
-@query(E + """, gap AS (SELECT k % 97 AS r FROM p WHERE s > 45 GROUP BY ALL) SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ORDER_VIOLATION' WHEN (SELECT count(*) FROM p WHERE s > 45) > 0 THEN 'COVERAGE_DEFICIT' ELSE 'ACCEPTED' END AS code FROM e""")
+@query(E + """, lack AS (SELECT k % 3 AS part, count(*) FILTER (WHERE s > 45) AS n FROM p GROUP BY ALL)
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ORDER_VIOLATION' WHEN event_id % 3 = 0 OR coalesce(n, 0) = 0 THEN 'ACCEPTED' ELSE 'COVERAGE_DEFICIT' END AS code FROM e LEFT JOIN lack ON part = event_id % 3""")
 def admission_cycle_close(spark, d):
-    o = _objects(spark, d)
-    keys = o.select(F.lit("y1").alias("cycle_id"), F.array(_name("c", "k")).alias("stage0_valid"))
-    covered = o.where("s <= 45").select(F.lit("y1").alias("cycle_id"), _name("c", "k").alias("config_key"))
-    return _codes(_rows(spark, d), "cycle.close", _doc(cycle_id=_name("y", F.col("event_id") % 2)), "scheduler:daemon", open_cycle=_open(spark), cycles=keys, covered=covered)
+    """Three states, dealt by id: one whose keys are all covered, and two that lack those of the large parts of a remainder."""
+    o, rows = _objects(spark, d), _rows(spark, d)
+
+    def at(state: int) -> DataFrame:
+        mine = o.where(F.col("k") % 3 == state).withColumn("cycle_id", F.lit("y1"))
+        keys = mine.select("cycle_id", F.array(_name("c", "k")).alias("stage0_valid"))
+        covered = mine.where("s <= 45" if state else "true").select("cycle_id", _name("c", "k").alias("config_key"))
+        return _codes(rows.where(F.col("event_id") % 3 == state), "cycle.close", _doc(cycle_id=_name("y", F.col("event_id") % 2)), "scheduler:daemon", open_cycle=_open(spark), cycles=keys, covered=covered)
+
+    return at(0).unionByName(at(1)).unionByName(at(2))
 
 
 @query(CODE.format("WHEN event_id % 3 > 0 THEN 'ACTOR_FORBIDDEN'"))
