@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import masking, readout
+from marlstone.operators import masking, readout, search
 from marlstone.plans.registry import POP, query, rounded
+from marlstone.scratch import Scratch
 from marlstone.sources import tables
 
 FACTOR = "CASE WHEN sum(-profit) FILTER (WHERE profit <= 0) > 0 THEN coalesce(sum(profit) FILTER (WHERE profit > 0), 0) / sum(-profit) FILTER (WHERE profit <= 0) WHEN max(profit) > 0 THEN 10 ELSE {} END"
@@ -54,3 +55,33 @@ def shift_null(spark: SparkSession, d: str) -> DataFrame:
     v = readout.null_vector(readout.shift_nulls(r, "side", ["entry_ts", "key"], 11, 20), "side")
     whole = v.select("side", F.posexplode(F.concat(F.array("z"), "null_z")).alias("shuffle", "z"))
     return rounded(whole)
+
+
+_U = "(('0x' || substr(md5('23:{0}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE + i * sqrt({1}::DOUBLE))"
+_W = ", ".join(f"0.1::DOUBLE + (2.5::DOUBLE - 0.1::DOUBLE) * ({u} - floor({u})) AS {c}" for c, u in [("wa", _U.format(0, 2)), ("wb", _U.format(1, 3))])
+
+
+@query(POP + f""", c AS MATERIALIZED (SELECT i::INTEGER AS candidate, 2 + i % 8 AS k, {_W} FROM range(0, 24) g(i)),
+r AS MATERIALIZED (SELECT profit, l_quantity / 50.0::DOUBLE AS a, (l_partkey % 1000) / 1000.0::DOUBLE AS b, row_number() OVER (ORDER BY entry_ts, key, profit) - 1 AS place, count(*) OVER () AS n FROM masked WHERE train AND side = 'sell'),
+m AS MATERIALIZED (SELECT s AS shuffle, profit, (place + CASE s WHEN 0 THEN 0 ELSE ('0x' || substr(md5('23:' || s), 1, 8))::BIGINT % (n - 1) + 1 END) % n AS place FROM r, range(0, 21) g(s) WHERE n > 2),
+d AS MATERIALIZED (SELECT candidate, k, place, 1 + floor(k * (wa * a + wb * b - floor(wa * a + wb * b))) AS blob FROM r, c),
+g AS (SELECT candidate, k, shuffle, blob, sum(m.profit) AS v, count(*) AS n FROM d JOIN m USING (place) GROUP BY ALL HAVING n >= 30),
+x AS (SELECT candidate, k, shuffle, sum(v * v / n) AS x, count(*) AS n_blobs FROM g GROUP BY ALL HAVING n_blobs > 1),
+t AS (SELECT candidate, avg(x) AS m, greatest(stddev_samp(x), 1e-12) AS s FROM x WHERE shuffle > 0 GROUP BY candidate),
+z AS (SELECT candidate, k, shuffle, n_blobs, x AS separation, (x - m) / s AS z FROM x JOIN t USING (candidate)),
+o AS (SELECT list_sort(list(z)) AS l, count(*) AS n FROM (SELECT shuffle, max(z) AS z FROM z WHERE shuffle > 0 GROUP BY shuffle)),
+q AS (SELECT *, n * 0.95::DOUBLE + 0.5 AS p, greatest(1, least(n, floor(n * 0.95::DOUBLE + 0.5)::BIGINT)) AS lo FROM o),
+w AS (SELECT l[lo] + (l[least(n, lo + 1)] - l[lo]) * greatest(0, least(1, p - lo)) AS gate FROM q),
+b AS (SELECT k, candidate, n_blobs, separation, z FROM z WHERE shuffle = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY z DESC, candidate) = 1)
+SELECT k::INTEGER AS k, candidate, n_blobs, round(separation, 6) AS separation, round(z, 6) AS z, round(gate, 6) AS gate, z > gate AS passes, row_number() OVER (ORDER BY z DESC, candidate) = 1 AS best FROM b, w""")
+def search_winners(spark: SparkSession, d: str) -> DataFrame:
+    """Sold training rows in k bands of a weighted sum of two features: of 24 candidates the best for each k, against the gate of the whole search."""
+    rows = _rows(spark, d).where("train AND side = 'sell'").select("profit", "entry_ts", "key", (F.col("l_quantity") / 50.0).alias("a"), (F.col("l_partkey") % 1000 / 1000.0).alias("b"))
+
+    def band(c):
+        at = c["wa"] * F.col("a") + c["wb"] * F.col("b")
+        return 1 + F.floor(c["k"] * (at - F.floor(at)))
+
+    candidates = search.design(24, {"wa": (0.1, 2.5), "wb": (0.1, 2.5)}, list(range(2, 10)), 23)
+    found = search.search(rows, candidates, band, ["entry_ts", "key", "profit"], 23, 20, 30, Scratch(spark, "search").path)
+    return rounded(search.winners(search.scored(found), candidates))
