@@ -179,12 +179,14 @@ def find(docs: DataFrame, run: Scratch, keep: list[str], support: int = SUPPORT,
     # No term is in more texts with an entity than the entity itself.
     n_e = run.table("entities", held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support))
     held = run.table("held", held.join(n_e, "entity").select("_text", "entity"))
-    said = rows.join(held.select("_text").distinct(), "_text", "left_semi").select("_text", F.explode(terms_of(plain)).alias("term")).distinct()
-    n_te = said.join(held, "_text").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    # One row of each text, so that words need no shuffle to be counted once a text: they are summed up by term before they are dealt.
+    first = rows.groupBy("_text").agg(F.min("_row").alias("_row"))
+    one = run.table("one", rows.join(first.select("_row"), "_row", "left_semi").select("_text", plain.alias("_t")))
+    said = one.join(held.groupBy("_text").agg(F.collect_list("entity").alias("_e")), "_text").select("_e", F.explode(terms_of(F.col("_t"))).alias("term"))
+    n_te = said.select(F.explode("_e").alias("entity"), "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     n_te = run.table("together", n_te)
-    words = rows.select("_text", F.explode(terms_of(plain)).alias("term"))
-    n_t = words.join(n_te.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.select("_text").distinct().count()
+    n_t = one.select(F.explode(terms_of(F.col("_t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = one.count()
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     flagged = n_te.join(n_e, "entity").join(n_t, "term").where(info > 0).select("term", (told / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
