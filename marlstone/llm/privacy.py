@@ -192,7 +192,11 @@ def find(docs: DataFrame, run: Scratch, keep: list[str], support: int = SUPPORT,
     flagged = n_te.join(n_e, "entity").join(n_t, "term").where(info > 0).select("term", (told / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
     flagged = run.table("flagged", flagged.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
     hold = run.table("hold", rows.select("_row", F.explode(terms_of(plain)).alias("term")).join(flagged, "term"))
-    places = rows.join(hold.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(matches(plain, TERM)).alias("m"))
+    # Words whose hash none of the row's terms has are left out before the join; a row has at most 4096 of these hashes, however many terms.
+    part = lambda t: F.pmod(F.xxhash64(t), F.lit(4096)).cast("int")
+    marks = hold.groupBy("_row").agg(F.collect_set(part("term")).alias("_b"))
+    found = F.filter(matches(plain, TERM), lambda m: F.array_contains(F.col("_b"), part(F.lower(m["hit"]))))
+    places = rows.join(marks, "_row").select("_row", F.explode(found).alias("m"))
     terms = places.select("_row", F.lower("m.hit").alias("term"), "m.start", "m.end").join(hold, ["_row", "term"])
     terms = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", "disclosure", F.col("term").rlike("^[0-9]+$").alias("number")))).alias("_terms"))
     none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,disclosure:double,number:boolean>>)")
