@@ -45,8 +45,11 @@ def rank_transfer_rows(masked: DataFrame, by: list[str], last: int, floor: int =
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation, ties by average rank, over rows that have both."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Rank correlation, ties by average rank, over rows that have both.
+
+    They are written first, as ranks are joined by value: sums that are computed again may differ in their last digits.
+    """
+    both = Scratch(rows.sparkSession, "spearman").table("both", rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y))
     for c in (x, y):
         ranks = placed(both.select(F.col(c).alias("_v")), [], ["_v"]).groupBy("_v").agg((F.avg("place") + 1).alias(f"_r_{c}"))
         both = both.join(ranks, F.col(c) == F.col("_v")).drop("_v")

@@ -105,3 +105,12 @@ def test_stream_of_lineages_goes_on_after_a_crash(spark, tmp_path):
     for w in want:
         g = seen[w.lineage]
         assert {k: g[k] for k in w.asDict()} == w.asDict()
+
+
+def test_spearman_of_rows_that_change_when_computed_again(spark):
+    """Sums of doubles differ in their last digits from one computation to the next; each row has its ranks all the same."""
+    noise = F.udf(lambda x: x + os.urandom(1)[0] * 1e-6, "double").asNondeterministic()
+    rows = spark.range(60).select(noise(F.col("id").cast("double")).alias("x"), noise((F.col("id") * 7 % 60).cast("double")).alias("y"))
+    got = scoring.spearman(rows, "x", "y").first()
+    want = np.corrcoef(np.arange(60), np.arange(60) * 7 % 60)[0, 1]
+    assert got.n == 60 and abs(got.spearman - want) < 1e-9
