@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import lookups, scoring
+from marlstone.operators import lookups, placing, scoring
 from marlstone.operators import projections as P
 from marlstone.streaming import lineages
 
@@ -114,3 +114,16 @@ def test_spearman_of_rows_that_change_when_computed_again(spark):
     got = scoring.spearman(rows, "x", "y").first()
     want = np.corrcoef(np.arange(60), np.arange(60) * 7 % 60)[0, 1]
     assert got.n == 60 and abs(got.spearman - want) < 1e-9
+
+
+def test_rows_of_a_tiny_file_stay_where_they_are(spark, monkeypatch):
+    """A column of few values is a small file of many rows; what comes before a range is sent to the rows, never the rows."""
+    rows = spark.range(300_000).select((F.col("id") % 3).cast("double").alias("x"))
+    plan = placing.placed(rows, [], ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    got = placing.points(rows.union(spark.range(2).select(F.lit(None).cast("double"))), [], "x", [0.5, 1.0]).first()
+    assert (got.n, got.q0, got.q1) == (300_000, 1.0, 2.0)
+    monkeypatch.setattr(placing, "AHEAD_ROWS", 0)
+    many = placing.placed(spark.range(500).select((F.col("id") % 9).alias("g"), "id"), ["g"], ["id"])
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    assert {(r.g, r.id, r.place, r.n) for r in many.collect()} == {(i % 9, i, i // 9, 56 if i % 9 < 5 else 55) for i in range(500)}
