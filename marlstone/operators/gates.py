@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions.semantics import profit_factor
 from marlstone.operators.placing import neighbour, placed, points
 
 
+CELL = 8192  # places
+
+
 def circular_twins(pop: DataFrame, by: str, order: list[str], shifts: dict[int, int]) -> DataFrame:
-    """For every twin (id: shift) the rows with the profit of the row ``shift`` places before, circularly within a group.
+    """For every twin (id: shift) the rows with the profit of the row ``shift`` places before, circularly within a group; columns of ``order`` don't come back.
 
-    ``place`` numbers the rows of a group. Groups of two rows or fewer have no twin. Only (group, place, twin, profit) is dealt for each twin; the rows are dealt once.
+    ``place`` numbers the rows of a group. Groups of two rows or fewer have no twin, nor has a null. A row goes to its cell of consecutive places, and to the next one if a shift reaches
+    back to it from there; a group of one cell holds all it needs. Twins are made inside a cell, so the rows of all twins are never dealt.
     """
-    rows = placed(pop, [by], order).where("n > 2")
-    table = F.explode(F.array(*[F.struct(F.lit(t).alias("twin"), F.lit(s).alias("shift")) for t, s in shifts.items()]))
-    moved = rows.select(F.col(by).alias("_b"), "place", "n", "profit", table.alias("_s")).select("_b", F.col("_s.twin").alias("twin"), F.pmod(F.col("place") + F.col("_s.shift"), F.col("n")).alias("_k"), "profit")
-    return rows.drop("profit", "n").join(moved, (F.col(by) == F.col("_b")) & (F.col("place") == F.col("_k"))).drop("_b", "_k")
+    back, on = max(0, *shifts.values()), -min(0, *shifts.values())
+    size = max(CELL, back, on)
+    own = [c for c in pop.columns if c not in (by, *order)]
+    rows = placed(pop.where(F.col(by).isNotNull()), [by], order, keep=own).where("n > 2")
+    n, at = F.col("n"), F.col("place")
+    cell, last = F.floor(at / size), F.floor((n - 1) / size)
+    to = lambda c, place: F.struct(c.cast("long").alias("cell"), place.alias("at"))
+    after = [F.when((cell < last) & (at >= (cell + 1) * size - back), to(cell + 1, at)), F.when((last > 0) & (at - n >= -back), to(F.lit(0), at - n))]
+    before = [F.when((cell > 0) & (at < cell * size + on), to(cell - 1, at)), F.when((last > 0) & (at < on), to(last, at + n)), F.when((last > 0) & (at + n < last * size + on), to(last - 1, at + n))]
+    spots = F.filter(F.array(to(cell, at), *after, *before), lambda x: x.isNotNull())
+    dealt = rows.select(by, "n", *own, F.explode(spots).alias("_s")).select(by, "n", *own, "_s.*")
+    others = [c for c in own if c != "profit"]
+    schema = T.StructType([pop.schema[by], T.StructField("place", T.LongType()), *[pop.schema[c] for c in others], T.StructField("twin", T.IntegerType()), pop.schema["profit"]])
+
+    def twins(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        n, c = rows["n"][0].as_py(), rows["cell"][0].as_py()
+        order = np.argsort(rows["at"].to_numpy())
+        places = rows["at"].to_numpy()[order]
+        mine = (places >= c * size) & (places < min((c + 1) * size, n))
+        place, one = places[mine], order[mine]
+        sources = [order[(place - s) % n if n <= size else place - s - places[0]] for s in shifts.values()]
+        same = np.tile(one, len(shifts))
+        columns = [rows[by].take(same), np.tile(place, len(shifts)), *[rows[k].take(same) for k in others], np.repeat(np.array([*shifts], np.int32), len(place)), rows["profit"].take(np.concatenate(sources))]
+        return pa.table(columns, schema.names)
+
+    return dealt.groupBy(by, "cell").applyInArrow(twins, schema)
 
 
 def twin_verdict(real: DataFrame, twins: DataFrame, by: str, at: int = 4) -> DataFrame:

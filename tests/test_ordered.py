@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import lookups, placing, scoring
+from marlstone.operators import gates, lookups, placing, scoring
 from marlstone.operators import projections as P
 from marlstone.streaming import lineages
 
@@ -138,3 +138,19 @@ def test_asof_of_a_long_cell(spark):
     got = lookups.asof_forward(left, "ts", right, "rts", "k").select("id", F.col("hit.rid").alias("rid"))
     wrong = got.where(~F.col("rid").eqNullSafe(F.when(F.col("id") < 480_000, F.floor(F.col("id") / 60) * 60 + 1)))
     assert got.count() == 200_000 and wrong.count() == 0 and time.monotonic() - began < 60
+
+
+def test_circular_twins_by_cells(spark, monkeypatch):
+    """Shifts either way and longer than a group, in groups of one cell and of many, against lists; rows of all twins are never dealt."""
+    monkeypatch.setattr(gates, "CELL", 16)
+    r, shifts = random.Random(4), {1: 1, 2: 15, 3: -7, 4: 0, 5: 16}
+    groups = {"a": 3, "b": 2, "c": 16, "d": 17, "e": 32, "f": 33, "g": 150, None: 5}
+    rows = [(g, i, r.choice([None, r.random()]), i % 3 == 0) for g, n in groups.items() for i in range(n)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "g string, o int, profit double, train boolean")
+    twins = gates.circular_twins(df, "g", ["o"], shifts)
+    plan = twins._jdf.queryExecution().executedPlan().toString()
+    profits = {(g, o): p for g, o, p, _ in rows}
+    want = {(g, t, i, i % 3 == 0, profits[g, (i - s) % n]) for g, n in groups.items() if g and n > 2 for i in range(n) for t, s in shifts.items()}
+    got = [(x.g, x.twin, x.place, x.train, x.profit) for x in twins.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hash") == 1 and plan.index("FlatMapGroupsInArrow") < plan.index("Exchange hash")
