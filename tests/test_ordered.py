@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import gates, lookups, placing, scoring
 from marlstone.operators import projections as P
+from marlstone.plans import views
 from marlstone.streaming import lineages
 
 
@@ -154,3 +155,27 @@ def test_circular_twins_by_cells(spark, monkeypatch):
     got = [(x.g, x.twin, x.place, x.train, x.profit) for x in twins.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "SortMergeJoin" not in plan and plan.count("Exchange hash") == 1 and plan.index("FlatMapGroupsInArrow") < plan.index("Exchange hash")
+
+
+def test_twin_battery_deals_rows_once(spark, sf):
+    """No join or shuffle meets the rows of all twins: they come out of the cells and go into sums."""
+    plan = views.twin_battery(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan[: plan.index("FlatMapGroupsInArrow")].splitlines() if "twin" in line]
+    assert above and not any("Join" in line for line in above)
+
+
+def test_nearest_of_many_rows_and_copies(spark, monkeypatch):
+    """Against all distances, in several blocks, with copies and ties; arrays that are measured pair by pair in the driver's language would take minutes."""
+    monkeypatch.setattr(lookups, "NEIGHBOUR_BYTES", 100_000)
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=(6000, 32)), 1)
+    v[1000:2500], v[2500:2600] = v[0], v[3]
+    label = rng.integers(0, 4, 6000)
+    t = spark.createDataFrame([(i, int(label[i]), v[i].tolist()) for i in range(6000)], "id long, label int, v array<double>")
+    began = time.monotonic()
+    got = {r.id: r.label for r in lookups.nearest(t, t.where("id % 2 = 0"), 11).collect()}
+    assert time.monotonic() - began < 60 and len(got) == 6000
+    for i in [*range(0, 6000, 61), 1, 3, 1500, 2550]:
+        d = np.round(((v[::2] - v[i]) ** 2).sum(axis=1), 9)
+        n = np.bincount(label[::2][np.lexsort((np.arange(3000), d))[:11]])
+        assert got[i] == n.argmax(), i
