@@ -29,6 +29,12 @@ def band(x: Column, edges: list[float], labels: list[str]) -> Column:
     return F.when(x.isNotNull(), out)
 
 
+def packed_key(key: Column) -> Column:
+    """A population's key (digits and hyphens, ``null`` for a missing part) in half its bytes; the packed keys are equal and ordered as the keys are."""
+    symbols = F.translate(key, "-0123456789lnu", "123456789ABCDE")
+    return F.unhex(F.when(F.length(symbols) % 2 == 0, symbols).otherwise(F.concat(symbols, F.lit("0"))))
+
+
 def canonical(value) -> bytes:
     """JSON bytes with sorted keys, no spaces, UTF-8; NaN and infinities are refused."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()

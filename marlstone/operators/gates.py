@@ -13,6 +13,7 @@ from marlstone.operators.placing import neighbour, placed, points
 
 
 CELL = 8192  # places
+TASK_ROWS = 100_000  # about, so that a task's rows are sorted in memory
 
 
 def circular_twins(pop: DataFrame, by: str, order: list[str], shifts: dict[int, int]) -> DataFrame:
@@ -24,7 +25,9 @@ def circular_twins(pop: DataFrame, by: str, order: list[str], shifts: dict[int,
     back, on = max(0, *shifts.values()), -min(0, *shifts.values())
     size = max(CELL, back, on)
     own = [c for c in pop.columns if c not in (by, *order)]
-    rows = placed(pop.where(F.col(by).isNotNull()), [by], order, keep=own).where("n > 2")
+    pop = pop.where(F.col(by).isNotNull())
+    tasks = pop.count() // TASK_ROWS + 2
+    rows = placed(pop, [by], order, keep=own, ranges=tasks).where("n > 2")
     n, at = F.col("n"), F.col("place")
     cell, last = F.floor(at / size), F.floor((n - 1) / size)
     to = lambda c, place: F.struct(c.cast("long").alias("cell"), place.alias("at"))
@@ -47,7 +50,7 @@ def circular_twins(pop: DataFrame, by: str, order: list[str], shifts: dict[int,
         columns = [rows[by].take(same), np.tile(place, len(shifts)), *[rows[k].take(same) for k in others], np.repeat(np.array([*shifts], np.int32), len(place)), rows["profit"].take(np.concatenate(sources))]
         return pa.table(columns, schema.names)
 
-    return dealt.groupBy(by, "cell").applyInArrow(twins, schema)
+    return dealt.repartition(tasks, by, "cell").groupBy(by, "cell").applyInArrow(twins, schema)
 
 
 def twin_verdict(real: DataFrame, twins: DataFrame, by: str, at: int = 4) -> DataFrame:

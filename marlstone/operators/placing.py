@@ -16,17 +16,18 @@ from marlstone.scratch import Scratch
 AHEAD_ROWS = 100_000  # of (range, group) that may be sent to all tasks
 
 
-def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: Scratch | None, joined=F.sum, start: int | None = 0, keep: list[str] | None = None, **totals: Column) -> tuple[DataFrame, DataFrame, Column]:
+def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: Scratch | None, joined=F.sum, start: int | None = 0, keep: list[str] | None = None, ranges: int | None = None, **totals: Column) -> tuple[DataFrame, DataFrame, Column]:
     """Rows dealt by range, and by (range, group) what ``own`` comes to in the ranges before (``_ahead``, by ``joined``) and ``totals`` of the group; and how the two join.
 
     ``_id`` numbers the rows of a range in order, without gaps. Only the sums of (range, group) meet by group: at most one for each range and one for each group.
     Few of them are sent to all tasks; the rows never are, though their files may be tiny (a column of few values). Only ``by`` and ``keep`` are written, where it is told.
+    ``ranges`` tells how many there are: so many are kept apart, where Spark would else put small ones together until a task's sort spills.
     """
     run = run or Scratch(rows.sparkSession, "placed")
     gs = [f"_g{i}" for i in range(len(by))]
-    ranges = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    ranges = ranges.select(*(rows.columns if keep is None else dict.fromkeys([*by, *keep])), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_id"))
-    dealt = run.table("dealt", ranges)
+    ordered = rows.repartitionByRange(*([ranges] if ranges else []), *by, *order).sortWithinPartitions(*by, *order)
+    ordered = ordered.select(*(rows.columns if keep is None else dict.fromkeys([*by, *keep])), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_id"))
+    dealt = run.table("dealt", ordered)
     sums = dealt.groupBy("_p", *[F.col(c).alias(g) for c, g in zip(by, gs)]).agg(own.alias("_k"), F.min("_id").alias("_first"))
     whole = Window.partitionBy(*(gs or [F.lit(0)]))
     before = F.coalesce(joined("_k").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(start)).alias("_ahead")
@@ -38,12 +39,12 @@ def _dealt(rows: DataFrame, by: list[str], order: list[str], own: Column, run: S
     return dealt, ahead, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, gs)], F.col("_p") == F.col("_q"))
 
 
-def placed(rows: DataFrame, by: list[str], order: list[str], run: Scratch | None = None, keep: list[str] | None = None) -> DataFrame:
+def placed(rows: DataFrame, by: list[str], order: list[str], run: Scratch | None = None, keep: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Adds ``place`` (from 0, by ``order``) and ``n`` (rows) within each group; a null is a group as others. Rows that are equal in ``order`` get places in any order.
 
     Of the other columns only ``keep`` come back, where it is told.
     """
-    dealt, ahead, same = _dealt(rows, by, order, F.count(F.lit(1)), run, keep=keep, n=F.sum("_k"))
+    dealt, ahead, same = _dealt(rows, by, order, F.count(F.lit(1)), run, keep=keep, ranges=ranges, n=F.sum("_k"))
     return dealt.join(ahead, same).withColumn("place", F.col("_ahead") + F.col("_id") - F.col("_first")).drop("_p", "_q", "_id", "_first", "_ahead", *[f"_g{i}" for i in range(len(by))])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import catalog
+from marlstone.functions import catalog, scalar
 from marlstone.operators import eventlog, gates, lookups, masking, ranking, scoring
 from marlstone.sources import tables
 from marlstone.sources.tables import BARS_SQL, POPULATION_SQL
@@ -381,7 +381,7 @@ t AS (SELECT w.component, w.train, w.i, twin, b.profit FROM w JOIN r b ON w.comp
 
 
 def _twins(spark, d):
-    pop = _masked(spark, d).select("component", "entry_ts", "key", "l_extendedprice", "train", "profit")
+    pop = _masked(spark, d).select("component", "entry_ts", scalar.packed_key(F.col("key")).alias("key"), "l_extendedprice", "train", "profit")
     return pop, gates.circular_twins(pop, "component", ["entry_ts", "key", "l_extendedprice"], SHIFTS)
 
 

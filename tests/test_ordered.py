@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import scalar
 from marlstone.operators import gates, lookups, placing, scoring
 from marlstone.operators import projections as P
 from marlstone.plans import views
@@ -164,6 +165,29 @@ def test_twin_battery_deals_rows_once(spark, sf):
     assert above and not any("Join" in line for line in above)
 
 
+def test_twins_of_many_rows_are_sorted_in_parts(spark, monkeypatch):
+    """Tasks grow with the rows, and small ones aren't put together, so that no task's sort goes to disk."""
+    monkeypatch.setattr(gates, "TASK_ROWS", 100)
+    rows = spark.range(5000).select((F.col("id") % 2).cast("string").alias("g"), "id", F.col("id").cast("double").alias("profit"))
+    twins = gates.circular_twins(rows, "g", ["id"], {1: 3})
+    plan = twins._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" in plan and ", 52), REPARTITION_BY_NUM" in plan
+    placed = gates.placed(rows, ["g"], ["id"], ranges=52)
+    assert len(placed.inputFiles()) > 40
+    assert {(r.g, r.place, r.profit) for r in twins.collect()} == {(str(i % 2), i // 2, float((i // 2 - 3) % 2500 * 2 + i % 2)) for i in range(5000)}
+
+
+def test_packed_keys(spark):
+    """Equal and ordered as the keys are, whatever their lengths, and shorter."""
+    r = random.Random(13)
+    part = lambda: r.choice(["null", f"{r.randrange(-(10**6), 10**6):012d}", f"{r.choice([0, 1, 9, 10**12, 10**14 + 7]):012d}"])
+    keys = ["", "0", "00", "-", *("-".join(part() for _ in range(r.randrange(1, 5))) for _ in range(400))]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", scalar.packed_key(F.col("k")).alias("p")).collect()
+    packed = {x.k: bytes(x.p) for x in got}
+    assert sorted(packed, key=packed.get) == sorted(set(keys)) and len(set(packed.values())) == len(packed)
+    assert all(len(p) <= (len(k) + 1) // 2 for k, p in packed.items())
+
+
 def test_nearest_of_many_rows_and_copies(spark, monkeypatch):
     """Against all distances, in several blocks, with copies and ties; arrays that are measured pair by pair in the driver's language would take minutes."""
     monkeypatch.setattr(lookups, "NEIGHBOUR_BYTES", 100_000)
